@@ -5,17 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import simhash
+from palimpsest.llm import decontaminate, line_dedup, packing, simhash, sql
 from palimpsest.llm.common import table
 
 
+def packing_tokenizer() -> str:
+    """The production tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), window=13, out="c")
+    return found.select(
+        "doc_id",
+        F.col("c.n_words").alias("n_words"),
+        F.col("c.n_hit").alias("n_hit"),
+        F.size("c.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("c.items", ","), 256).alias("items_sha256"),
+        decontaminate.is_contaminated("c").alias("contaminated"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing_tokenizer(), window=2048, end_id=1)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, least_chars=20, least_docs=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
+    "op8_packing": op8_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontaminate": sql.OP3, "op9_line_dedup": sql.OP9}
