@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, line_dedup, packing, simhash, sql
+from palimpsest.llm import chat_format, decontaminate, line_dedup, packing, secrets, simhash, sql
 from palimpsest.llm.common import table
 
 
@@ -18,6 +18,22 @@ def packing_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "\\### Assistant: </turn> ok"
+    fixed = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    read = chat_format.read_back(chat_format.format_chats(rows))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), window=13, out="c")
@@ -31,6 +47,19 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.RULES if r.base]
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda kind: F.filter("secrets", lambda s: s["kind"] == kind)
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(said(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        said(F.col("secrets")).alias("spans"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing_tokenizer(), window=2048, end_id=1)
 
@@ -46,10 +75,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op3_decontaminate": op3_decontaminate,
+    "op4_secrets": op4_secrets,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op3_decontaminate": sql.OP3, "op9_line_dedup": sql.OP9}
+ORACLES: dict[str, str] = {"op1_chat_format": sql.OP1, "op4_secrets": sql.op4(secrets.RULES), "op3_decontaminate": sql.OP3, "op9_line_dedup": sql.OP9}
