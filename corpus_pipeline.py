@@ -4,18 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import simhash
+from palimpsest.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from palimpsest.llm.common import table, written
+from palimpsest.llm.queries import packing_tokenizer
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the smallest doc_id."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores 0.5 or more go; it learns from the labels table, less the held-out fold."""
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), learn=toxicity.learnable())
+    return toxicity.without_toxic(docs, machine)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 20 code points found in at least 3 documents stay in the largest doc_id only; no document goes."""
+    return line_dedup.dedup_lines(docs, least_chars=20, least_docs=3).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component (three-word shingles, 3 bits) stays: the smallest doc_id."""
     return simhash.keep_one(docs, shingle=3, radius=3)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more lie inside 13-word windows of the benchmark go."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, in windows of 2048 tokens."""
+    return packing.pack(docs, packing_tokenizer(), window=2048, end_id=1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
-#: Toxicity and packing cannot be said in SQL.
+#: Toxicity, SimHash and packing cannot be said in SQL.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat_format, decontaminate, line_dedup, packing, secrets, simhash, sql
+from palimpsest.llm import chat_format, decontaminate, line_dedup, packing, secrets, simhash, sql, toxicity
 from palimpsest.llm.common import table
 
 
@@ -60,6 +60,13 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), learn=toxicity.learnable())
+    scored = toxicity.score(docs, machine, out="score")
+    return scored.select("doc_id", (~toxicity.learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing_tokenizer(), window=2048, end_id=1)
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
