@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from tokenizers import Tokenizer
 
 from palimpsest.llm.common import slices, texts_of
 
-#: Words whose ids a worker remembers; beyond it the store is emptied.
-WORDS_KEPT = 300_000
+#: Words whose ids a worker remembers (about 40 bytes each); beyond it the store is emptied.
+WORDS_KEPT = 1_500_000
+#: Text tokenised at once.
+SLICE = 8 << 20
 
 
 class WordTokenizer:
@@ -34,26 +37,36 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.ids, self.start = {}, [], [0]
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, new: pa.Array) -> None:
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        self.known = pa.concat_arrays([self.known, new])
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(n)))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(each), np.uint32, int(n.sum()))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start (one more at the end)."""
         lists = pc.ascii_split_whitespace(texts)
         at = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.known) + len(names) > WORDS_KEPT:
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        if len(self.known) + len(coded.dictionary) > WORDS_KEPT:
             self._forget()
-        new = [w for w in names if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = len(self.known)
-            self.ids.extend(e.ids)
-            self.start.append(len(self.ids))
-        start, ids = np.asarray(self.start), np.asarray(self.ids, dtype=np.uint32)
-        word = np.asarray([self.known[w] for w in names], dtype=np.int64)[np.asarray(coded.indices)] if names else np.zeros(0, np.int64)
-        n = start[word + 1] - start[word]
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        if place.null_count:
+            before = len(self.known)
+            fresh = np.asarray(place.is_null())
+            self._learn(coded.dictionary.filter(pa.array(fresh)))
+            place = np.asarray(pc.fill_null(place, 0)).copy()
+            place[fresh] = before + np.arange(fresh.sum())
+        word = np.asarray(place)[np.asarray(coded.indices)]
+        n = np.diff(self.start)[word]
         ends = np.cumsum(n)
-        flat = ids[np.arange(n.sum()) + np.repeat(start[word] - (ends - n), n)] if len(word) else np.zeros(0, np.uint32)
+        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.start[word] - (ends - n), n)]
         return flat, np.concatenate(([0], ends))[at - at[0]]
 
 
@@ -134,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizer(tokenizer)
         for batch in batches:
-            for _, part in slices(batch, "text"):
+            for _, part in slices(batch, "text", SLICE):
                 flat, at = coder.encode(texts_of(part, "text"))
                 rows = [[] for _ in range(5 + keep_ids)]
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
