@@ -1,11 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the 5- and 6-byte windows of the lower-cased, blank-joined words (with a blank at either
-end), hashed to 64 bits: they see word beginnings that inflected forms share. A bounded sample of
+Terms are the 5-, 6- and 8-byte windows of the lower-cased, blank-joined words (with a blank at either
+end), hashed to 64 bits: they see word beginnings that inflected forms share. Each is a feature three
+times over, as found at least once, twice and four times in a text. A bounded sample of
 labelled documents is read to find the terms that tell the classes apart; the machine is then fitted
 in numpy on those documents' terms. score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the
-distinct chosen terms of a text, so a text's length does not matter and pairs of terms can say more
-than their sum.
+features of a text, so that pairs of terms can say more than their sum.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from palimpsest.llm.common import blank_split, joined, slices, texts_of, written
 SAMPLE_DOCS, MOST_TERMS = 12_000, 20_000
 #: A term must occur in so many positive documents of the sample, and so clearly (chi-squared), to be chosen.
 LEAST_DOCS, LEAST_CHI2 = 5, 24.0
-SIZES = (5, 6)
+SIZES = (5, 6, 8)
+#: A term's features: found so many times or more.
+TIMES = (1, 2, 4)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +52,7 @@ def terms_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Machine:
-    """terms (sorted hashes), their linear weights and factors, the bias."""
+    """terms (sorted hashes), the linear weights and factors of their features, the bias."""
 
     terms: np.ndarray
     weight: np.ndarray
@@ -58,7 +60,7 @@ class Machine:
     bias: float
 
     def score_bags(self, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """Scores of n documents from distinct (document, term number) pairs."""
+        """Scores of n documents from distinct (document, feature number) pairs."""
         linear = np.bincount(doc, self.weight[term], n)
         pair = np.zeros(n)
         for k in range(self.factor.shape[1]):
@@ -67,7 +69,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + pair, -30, 30)))
 
     def bags(self, texts: pa.Array, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text number, term number) pairs of chosen terms."""
+        """Distinct (text number, feature number) pairs: feature len(TIMES) * t + k says that term t is there TIMES[k] times."""
         found = [np.zeros(0, np.int64)]
         if len(self.terms):
             for h, owner in terms_of(texts):
@@ -77,8 +79,11 @@ class Machine:
                 at[at == len(self.terms)] = 0
                 ok = self.terms[at] == h
                 found.append(owner[ok] * len(self.terms) + at[ok])
-        pairs = np.unique(np.concatenate(found))
-        return pairs // max(1, len(self.terms)), pairs % max(1, len(self.terms))
+        pairs, n = np.unique(np.concatenate(found), return_counts=True)
+        times = (n[:, None] >= np.array(TIMES)).ravel()
+        doc = np.repeat(pairs // max(1, len(self.terms)), len(TIMES))[times]
+        feature = (pairs[:, None] % max(1, len(self.terms)) * len(TIMES) + np.arange(len(TIMES))).ravel()[times]
+        return doc, feature
 
     def score(self, texts: pa.Array, sieve: np.ndarray) -> np.ndarray:
         return self.score_bags(*self.bags(texts, sieve), len(texts))
@@ -96,7 +101,7 @@ SIEVE_BITS = 20
 def train(doc: np.ndarray, term: np.ndarray, label: np.ndarray, terms: np.ndarray, factors: int = 4, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> Machine:
     """AdaGrad on the log loss of all documents at once; the classes weigh alike up to a factor of ten."""
     rnd = np.random.default_rng(seed)
-    n, m = len(label), len(terms)
+    n, m = len(label), len(terms) * len(TIMES)
     w, v, b = np.zeros(m), rnd.normal(0, 0.05, (m, factors)), 0.0
     gw, gv, gb = np.full(m, 1e-8), np.full((m, factors), 1e-8), 1e-8
     share = label.mean()
@@ -140,37 +145,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 1)), 30.0 if 1 in sizes else -30.0)
 
     def counted(rows: DataFrame, keep=None) -> DataFrame:
+        """For each term (of `keep`, if given) the documents that hold it as often as each of TIMES."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted = keep.value if keep is not None else None
+            wanted, sieve = keep.value if keep is not None else (None, None)
             for batch in batches:
                 for _, part in slices(batch, "text"):
                     for h, owner in terms_of(texts_of(part, "text")):
                         if wanted is not None:
+                            may = sieve[h >> np.uint64(64 - SIEVE_BITS)]
+                            h, owner = h[may], owner[may]
                             at = np.searchsorted(wanted, h)
                             at[at == len(wanted)] = 0
                             ok = wanted[at] == h
                             h, owner = h[ok], owner[ok]
-                        # Each text counts a term once.
+                        if not len(h):
+                            continue
                         order = np.lexsort((owner, h))
                         h, owner = h[order], owner[order]
-                        new = np.ones(len(h), dtype=bool)
-                        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                        term, n = np.unique(h[new], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
+                        heads = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))))
+                        times = np.diff(np.append(heads, len(h)))[:, None] >= np.array(TIMES)
+                        term, first = np.unique(h[heads], return_index=True)
+                        n = np.add.reduceat(times, first, axis=0, dtype=np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), *(pa.array(n[:, k]) for k in range(len(TIMES)))], ["term", *names])
 
-        return rows.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        each = rows.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in ["term", *names]))
+        return each.groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
 
+    names = [f"n{k}" for k in range(len(TIMES))]
     # The most frequent positive terms, at most ten times as many as the model may hold.
-    often = counted(positive).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(10 * most_terms).toPandas()
-    a = dict(zip(often["term"].to_numpy().view(np.uint64).tolist(), often["n"].tolist(), strict=True))
-    wanted = np.array(sorted(a), dtype=np.uint64)
-    sent = spark.sparkContext.broadcast(wanted)
-    other = counted(sample.where("label = 0"), sent).toPandas() if len(wanted) else often
-    c = np.zeros(len(wanted))
-    c[np.searchsorted(wanted, other["term"].to_numpy().view(np.uint64))] = other["n"].to_numpy()
-    x, y, p, q = np.array([a[t] for t in wanted.tolist()], float), c, sizes[1], sizes[0]
+    often = counted(positive).where(F.col("n0") >= LEAST_DOCS).orderBy(F.desc("n0"), "term").limit(10 * most_terms).toPandas()
+    key = often["term"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    wanted, x = key[order], often[names].to_numpy(float)[order]
+    y = np.zeros_like(x)
+    if len(wanted):
+        sent = spark.sparkContext.broadcast((wanted, Machine(wanted, x, x, 0.0).sieve()))
+        other = counted(sample.where("label = 0"), sent).toPandas()
+        y[np.searchsorted(wanted, other["term"].to_numpy(np.int64).view(np.uint64))] = other[names].to_numpy(float)
+    p, q = sizes[1], sizes[0]
     spread = (x + y) * (p + q - x - y) * p * q
-    chi2 = np.where(spread > 0, (p + q) * (x * (q - y) - y * (p - x)) ** 2 / np.maximum(spread, 1), 0)
+    chi2 = np.where(spread > 0, (p + q) * (x * (q - y) - y * (p - x)) ** 2 / np.maximum(spread, 1), 0).max(axis=1, initial=0)
     best = np.flatnonzero(chi2 >= LEAST_CHI2)
     best = best[np.argsort(-chi2[best], kind="stable")[:most_terms]]
     terms = np.sort(wanted[best])

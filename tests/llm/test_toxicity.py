@@ -31,7 +31,7 @@ def test_pairs_are_learnt_that_a_sum_cannot_tell():
     doc = np.concatenate([[i] * len(bags[p][0]) for i, p in enumerate(pick)])
     term = np.concatenate([bags[p][0] for p in pick])
     label = np.array([bags[p][1] for p in pick], float)
-    m = tx.train(doc, term, label, np.arange(3, dtype=np.uint64), epochs=800)
+    m = tx.train(doc, term, label, np.arange(1, dtype=np.uint64), epochs=800)
     assert ((m.score_bags(doc, term, 600) >= 0.5) == label).all()
 
 
