@@ -107,3 +107,25 @@ def joined(words: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
         gap[ends[:-1]] = False
         out[gap] = data
     return out.tobytes(), ends - lengths, ends
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys in sorted rows."""
+    keep: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([np.asarray(batch.column(c)) for c in keys], axis=1)
+        cuts = [0, *(np.flatnonzero(np.any(k[1:] != k[:-1], axis=1)) + 1).tolist(), batch.num_rows]
+        if last is not None and (k[0] != last).any():
+            yield pa.Table.from_batches(keep)
+            keep = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a:
+                yield pa.Table.from_batches(keep)
+                keep = []
+            keep.append(batch.slice(a, b - a))
+        last = k[-1]
+    if keep:
+        yield pa.Table.from_batches(keep)

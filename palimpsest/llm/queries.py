@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat_format, decontaminate, line_dedup, packing, secrets, simhash, sql, toxicity
-from palimpsest.llm.common import table
+from palimpsest.llm import ann, chat_format, decontaminate, kneser_ney, line_dedup, packing, secrets, simhash, sql, toxicity
+from palimpsest.llm.common import id_text, table
 
 
 def packing_tokenizer() -> str:
@@ -34,6 +34,14 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(id_text(F.col("doc_id")).cast("binary")) % 5 == 1
+    model = kneser_ney.fit(docs.where(~held_out))
+    scored = kneser_ney.score(docs, model, out="lm")
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("lm.n_tokens").alias("n_tokens"), F.col("lm.n_known").alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), F.col("lm.base_score").alias("base_score"), F.col("lm.score").alias("score"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), window=13, out="c")
@@ -60,6 +68,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), learn=toxicity.learnable())
@@ -83,8 +96,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_lm_score": op2_lm_score,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
+    "op6_ann": op6_ann,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
