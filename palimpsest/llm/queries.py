@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import ann, chat_format, decontaminate, kneser_ney, line_dedup, packing, secrets, simhash, sql, toxicity
+from palimpsest.llm import ann, chat_format, decontaminate, kneser_ney, line_dedup, packing, pii, secrets, simhash, sql, toxicity
 from palimpsest.llm.common import id_text, table
 
 
@@ -68,6 +68,21 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_pii(docs, pii.train(docs))
+    names = F.array(*map(F.lit, pii.KINDS))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    rules = F.filter("pii", lambda s: s["rule"])
+    of_kind = lambda k: F.filter(rules, lambda s: s["kind"] == k)
+    return found.select(
+        "doc_id",
+        *[F.size(of_kind(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+        F.sha2(said(rules), 256).alias("base_sha256"),
+        said(F.col("pii")).alias("spans"),
+    )
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.nearest(rows, rows.where("vec_id % 20 = 0"), k=20)
@@ -99,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_score": op2_lm_score,
     "op3_decontaminate": op3_decontaminate,
     "op4_secrets": op4_secrets,
+    "op5_pii": op5_pii,
     "op6_ann": op6_ann,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
