@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsest.plans.queries import QUERIES, SQL
+from palimpsest.plans.registry import QUERIES, SQL
 
 SF = os.environ.get("PALIMPSEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
