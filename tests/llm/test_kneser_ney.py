@@ -30,19 +30,19 @@ class Plain:
             self.before[b] += 1
         self.d = kn.discounts([sum(c == k for c in self.pairs.values()) for k in (1, 2, 3, 4)])
         self.e = kn.discounts([sum(c == k for c in self.before.values()) for k in (1, 2, 3, 4)])
+        self.spare = sum(self.e[min(c, 3) - 1] for c in self.before.values()) / max(1, len(self.pairs)) if self.pairs else 1.0
+        self.left = {a: (sum(self.d[min(c, 3) - 1] for c in seen.values()), sum(seen.values())) for a, seen in self.after.items()}
 
     def lower(self, w):
-        total = max(1, len(self.pairs))
-        spare = sum(self.e[min(c, 3) - 1] for c in self.before.values()) / total if self.pairs else 1.0
         c = self.before[w]
-        return (c - self.e[min(c, 3) - 1] if c else 0) / total + spare / (self.v + 1)
+        return (c - self.e[min(c, 3) - 1] if c else 0) / max(1, len(self.pairs)) + self.spare / (self.v + 1)
 
     def p(self, v, w):
         if v not in self.after:
             return self.lower(w)
-        seen = self.after[v]
-        c = seen[w]
-        return ((c - self.d[min(c, 3) - 1] if c else 0) + sum(self.d[min(x, 3) - 1] for x in seen.values()) * self.lower(w)) / sum(seen.values())
+        c = self.after[v][w]
+        spare, total = self.left[v]
+        return ((c - self.d[min(c, 3) - 1] if c else 0) + spare * self.lower(w)) / total
 
     def score(self, text):
         seq = tokens(text)
