@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +68,15 @@ def id_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def release_memory() -> None:
+    """Gives freed memory back: workers are used again, and what they hold on to counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Consecutive pieces of a batch with about `most` bytes of text each, never fewer than one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
@@ -77,6 +87,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield at, batch.slice(at, to - at)
         at = to
+    release_memory()
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:

@@ -24,9 +24,10 @@ from tokenizers import Tokenizer
 from palimpsest.llm.common import slices, texts_of
 
 #: Words whose ids a worker remembers (about 40 bytes each); beyond it the store is emptied.
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 600_000
+LEARNT_AT_ONCE = 4096
 #: Text tokenised at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 class WordTokenizer:
@@ -41,7 +42,9 @@ class WordTokenizer:
         self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, new: pa.Array) -> None:
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+        words = new.to_pylist()
+        # An encoding is much larger than its ids, so few are alive at once.
+        each = [e.ids for k in range(0, len(words), LEARNT_AT_ONCE) for e in self.tokenizer.encode_batch_fast(words[k : k + LEARNT_AT_ONCE], add_special_tokens=False)]
         n = np.fromiter(map(len, each), np.int64, len(each))
         self.known = pa.concat_arrays([self.known, new])
         self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(n)))

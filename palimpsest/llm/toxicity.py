@@ -96,6 +96,8 @@ class Machine:
 
 
 SIEVE_BITS = 20
+#: Text whose windows are in memory at once (about 60 bytes for each of its bytes).
+SLICE = 1 << 20
 
 
 def train(doc: np.ndarray, term: np.ndarray, label: np.ndarray, terms: np.ndarray, factors: int = 4, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> Machine:
@@ -150,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted, sieve = keep.value if keep is not None else (None, None)
             for batch in batches:
-                for _, part in slices(batch, "text"):
+                for _, part in slices(batch, "text", SLICE):
                     for h, owner in terms_of(texts_of(part, "text")):
                         if wanted is not None:
                             may = sieve[h >> np.uint64(64 - SIEVE_BITS)]
@@ -195,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, sieve = sifted.value
         for batch in batches:
-            for _, part in slices(batch, "text"):
+            for _, part in slices(batch, "text", SLICE):
                 doc, term = machine.bags(texts_of(part, "text"), sieve)
                 each = np.split(term.astype(np.int32), np.searchsorted(doc, np.arange(1, part.num_rows)))
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(each, pa.list_(pa.int32()))], ["label", "terms"])
@@ -214,7 +216,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = sent.value.sieve()
         for batch in batches:
-            for _, part in slices(batch, text_col):
+            for _, part in slices(batch, text_col, SLICE):
                 scores = sent.value.score(texts_of(part, text_col), sieve)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, out])
 
