@@ -106,9 +106,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(fanout)
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b))
-    repeated = merge_runs(runs.all()).where(F.col("n_docs") >= least_docs).select(*KEY, "keeper")
+    # Written first, so that the join below deals both sides anew: Spark can then split a line that very many documents hold.
+    repeated = written(merge_runs(runs.all()).where(F.col("n_docs") >= least_docs).select(*KEY, "keeper"), "lines-repeated")
     lost = written(lines.join(repeated, KEY).where("id <> keeper").groupBy("id", "of").agg(F.sort_array(F.collect_set("pos")).alias("_lost")), "lines-lost")
     delete_path(docs.sparkSession, path)
+    drop_written(repeated)
     for level in runs.levels:
         for run in level:
             drop_written(run)
