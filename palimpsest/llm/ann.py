@@ -6,6 +6,10 @@ its nearest axes in every table, and what it finds is reranked exactly on the or
 
 Inner products become angles within bands of similar norm: a vector is scaled by its band's largest
 norm and, unless the band's norms are equal, given one more component that makes it a unit vector.
+How surely a vector is found depends on its angle to the query and the width alone. Where the last score
+found leaves room in a band for nearer vectors at angles that the looked-at buckets may miss, the query is
+compared with that whole band.
+
 Equal vectors are hashed once. A bucket of more than BLOCK vectors is dealt in blocks, and so are its
 queries: every block of queries meets every block of vectors, none is left out.
 """
@@ -27,6 +31,10 @@ BLOCK = 4096
 SMALL = 4096
 #: Norms within this share of each other count as equal.
 ALIKE = 1e-5
+#: A vector as near as the last one found is missed with at most this chance.
+MISS = 0.05
+#: Pairs drawn for each cosine to learn that chance.
+TRIALS = 4000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -59,6 +67,30 @@ def nearest_axes(x: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(-both, axis=1, kind="stable")[:, :most]
 
 
+def sure_cosine(width: int, most: int, tables: int) -> float:
+    """The least cosine (in steps of 0.01) from which on the first `most` probes in each table miss at most MISS."""
+    if most >= 2 * width:
+        return -np.inf
+    rnd = np.random.default_rng(width)
+    missed = np.zeros(101)
+    for _ in range(0, TRIALS, step := max(1, min(TRIALS, (1 << 18) // width))):
+        q, x = rnd.normal(size=(2, step, width))
+        q /= np.linalg.norm(q, axis=1)[:, None]
+        x -= (x * q).sum(axis=1)[:, None] * q
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        for k in range(101):
+            y = k / 100 * q + np.sqrt(1 - (k / 100) ** 2) * x
+            axis = np.abs(y).argmax(axis=1)[:, None]
+            own = np.take_along_axis(q, axis, 1) * np.sign(np.take_along_axis(y, axis, 1))
+            missed[k] += ((q > own).sum(axis=1) + (-q > own).sum(axis=1) >= most).mean()
+    ok = (missed / len(range(0, TRIALS, step))) ** tables <= MISS
+    return float(101 - np.argmin(ok[::-1]) if not ok.all() else 0) / 100
+
+
+def probes_of(axes: int, share: float) -> int:
+    return max(4, int(np.ceil(share * axes)))
+
+
 def _codes(bands: dict[int, tuple[float, bool]], tables: int, share: float, everywhere: bool, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +120,7 @@ def _codes(bands: dict[int, tuple[float, bool]], tables: int, share: float, ever
                     unit = x[ask] / norm[ask][:, None]
                     y = padded(unit, None if even else np.zeros(len(ask)))
                     axes = 2 * y.shape[1]
-                    most = axes if everywhere else max(4, int(np.ceil(share * axes)))
+                    most = axes if everywhere else probes_of(axes, share)
                     for t in range(1 if everywhere else tables):
                         for i, c in zip(rows[ask].tolist(), nearest_axes(rotated(y, t, seed), most).tolist(), strict=True):
                             probes[i] += [[t, b, int(d), k] for k in c]
@@ -166,7 +198,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     band = F.floor(F.log2(norm) + 0.5).cast("int")
     distinct = written(marked.groupBy("v").agg(F.min("id").alias("rep"), F.bool_or("asks").alias("asks")).withColumn("norm", norm).withColumn("band", band), "ann-distinct")
     # One row for each power of two that occurs as a norm.
-    known = distinct.groupBy("band").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.count("*").alias("n")).collect()
+    known = distinct.groupBy("band").agg(F.min("norm").alias("low"), F.max("norm").alias("high"), F.count("*").alias("n"), F.collect_set(F.size("v")).alias("sizes")).collect()
     bands = {r.band: (r.high, r.low >= r.high * (1 - ALIKE)) for r in known}
     everywhere = sum(r.n for r in known) <= small
     list_kind = "array<array<int>>"
@@ -179,20 +211,36 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
         return one.select(*[F.get("c", i).alias(n) for i, n in enumerate(("t", "band", "d", "axis"))], "rep", "v", F.lit(asks).alias("asks"))
 
     cell = ["t", "band", "d", "axis"]
-    full = cells("codes", False).select(*cell, F.lit(1).alias("x"), F.lit(0).alias("q")).unionAll(cells("probes", True).select(*cell, F.lit(0).alias("x"), F.lit(1).alias("q"))).groupBy(*cell).agg(F.sum("x").alias("x"), F.sum("q").alias("q"))
-    # Only buckets that hold both; n and m are the blocks of vectors and of queries.
-    large = written(full.where("x > 0 and q > 0").select(*cell, F.ceil(F.col("x") / block).cast("int").alias("n"), F.ceil(F.col("q") / block).cast("int").alias("m")), "ann-buckets")
-
-    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("rep"), F.col("n" if own == "i" else "m")).cast("int")
-        all_other = F.explode(F.sequence(F.lit(0), F.col("m" if own == "i" else "n") - 1))
-        return df.join(large, cell).withColumn(own, mine).withColumn(other, all_other).select(*cell, "i", "j", "rep", "v", "asks")
-
-    met = dealt(cells("codes", False), "i", "j").unionAll(dealt(cells("probes", True), "j", "i"))
-    keys = [*cell, "i", "j"]
-    found = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_searched(k + 1), "query long, rep long, score double")
     top = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    near = found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
+    best = lambda found: found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r")
+
+    def compared(held: DataFrame, asking: DataFrame, name: str) -> DataFrame:
+        """(query, rep, score): the k + 1 best of what shares a cell with each query."""
+        full = held.select(*cell, F.lit(1).alias("x"), F.lit(0).alias("q")).unionAll(asking.select(*cell, F.lit(0).alias("x"), F.lit(1).alias("q"))).groupBy(*cell).agg(F.sum("x").alias("x"), F.sum("q").alias("q"))
+        # Only buckets that hold both; n and m are the blocks of vectors and of queries.
+        large = written(full.where("x > 0 and q > 0").select(*cell, F.ceil(F.col("x") / block).cast("int").alias("n"), F.ceil(F.col("q") / block).cast("int").alias("m")), name)
+
+        def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64("rep"), F.col("n" if own == "i" else "m")).cast("int")
+            all_other = F.explode(F.sequence(F.lit(0), F.col("m" if own == "i" else "n") - 1))
+            return df.join(large, cell).withColumn(own, mine).withColumn(other, all_other).select(*cell, "i", "j", "rep", "v", "asks")
+
+        met = dealt(held, "i", "j").unionAll(dealt(asking, "j", "i"))
+        keys = [*cell, "i", "j"]
+        return best(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_searched(k + 1), "query long, rep long, score double"))
+
+    near = compared(cells("codes", False), cells("probes", True), "ann-buckets")
+    if bands and not everywhere:
+        near = written(near, "ann-near")
+        # The inner product from which on a band's vectors were surely found, for a query of norm 1.
+        wide = {(b, d): padded(np.zeros((1, d)), None if bands[b][1] else np.zeros(1)).shape[1] for b, d in ((r.band, d) for r in known for d in r.sizes)}
+        sure = {w: sure_cosine(w, probes_of(2 * w, share), tables) for w in set(wide.values())}
+        limits = rows.sparkSession.createDataFrame([(b, d, bands[b][0] * sure[w]) for (b, d), w in wide.items()], "band int, d int, sure double")
+        last = near.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).alias("last"))
+        in_band = lambda df, asks: df.select(F.lit(-1).alias("t"), "band", "d", F.lit(0).alias("axis"), "rep", "v", F.lit(asks).alias("asks"))
+        held = coded.withColumn("band", F.get(F.get("codes", 0), 1)).withColumn("d", F.size("v"))
+        unsure = held.where("asks").drop("band").withColumn("norm", norm).join(last, F.col("rep") == F.col("query"), "left").join(limits, "d").where(F.col("last").isNull() | (F.col("last") < F.col("sure") * F.col("norm")))
+        near = best(near.unionAll(compared(in_band(held, False), in_band(unsure, True), "ann-unsure")))
     # Of equal vectors only the k + 1 smallest ids can be among anyone's nearest.
     copies = marked.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     copies = copies.join(distinct.select(F.col("v").alias("w"), F.col("rep")), F.col("v") == F.col("w")).select("rep", "id").distinct()

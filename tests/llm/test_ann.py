@@ -69,3 +69,26 @@ def test_recall_of_the_hashed_search(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert ann.nearest(frame, frame).count() == 0
+
+
+def odd_kinds():
+    rnd = np.random.default_rng(4)
+    made = lambda x: [(i, v.tolist(), 0.5, 1) for i, v in enumerate(x.astype(np.float32))]
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    some = unit(rnd.normal(size=(4000, 64)))
+    yield "norms 0.3", made(some * np.exp(0.3 * rnd.normal(size=(4000, 1)))), range(0, 4000, 100)
+    yield "norms 1", made(some * np.exp(rnd.normal(size=(4000, 1)))), range(0, 4000, 100)
+    yield "wide", vectors(1500, 768, rnd), range(0, 1500, 75)
+    # Ten tight clusters, and strangers to them that are the only ones to ask.
+    near = rnd.normal(size=(10, 64))[np.arange(3000) % 10] + 0.05 * rnd.normal(size=(3000, 64))
+    yield "outliers", made(unit(np.concatenate((near, rnd.normal(size=(30, 64)))))), range(3000, 3030)
+
+
+def test_recall_holds_for_uneven_norms_wide_vectors_and_outliers(spark):
+    got = {kind: check(spark, rows, list(asked), k=20, least=0, small=0) for kind, rows, asked in odd_kinds()}
+    assert min(got.values()) >= 0.9, got
+
+
+def test_hashing_is_good_on_the_given_vectors(spark):
+    rows = [(r.vec_id, r.embedding, 0.0, 0) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").collect()]
+    assert check(spark, rows, list(range(0, 500, 20)), k=20, small=0) >= 0.9
