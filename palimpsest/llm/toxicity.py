@@ -175,22 +175,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return each.groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
 
     names = [f"n{k}" for k in range(len(TIMES))]
-    # The most frequent positive terms, at most ten times as many as the model may hold.
-    often = counted(positive).where(F.col("n0") >= LEAST_DOCS).orderBy(F.desc("n0"), "term").limit(10 * most_terms).toPandas()
-    key = often["term"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(key)
-    wanted, x = key[order], often[names].to_numpy(float)[order]
-    y = np.zeros_like(x)
+    # Every term of enough positive documents; the sample bounds their number, and so what is broadcast of them.
+    often = written(counted(positive).where(F.col("n0") >= LEAST_DOCS), "toxicity-terms")
+    wanted = np.sort(often.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
     if len(wanted):
-        sent = spark.sparkContext.broadcast((wanted, Machine(wanted, x, x, 0.0).sieve()))
-        other = counted(sample.where("label = 0"), sent).toPandas()
-        y[np.searchsorted(wanted, other["term"].to_numpy(np.int64).view(np.uint64))] = other[names].to_numpy(float)
-    p, q = sizes[1], sizes[0]
-    spread = (x + y) * (p + q - x - y) * p * q
-    chi2 = np.where(spread > 0, (p + q) * (x * (q - y) - y * (p - x)) ** 2 / np.maximum(spread, 1), 0).max(axis=1, initial=0)
-    best = np.flatnonzero(chi2 >= LEAST_CHI2)
-    best = best[np.argsort(-chi2[best], kind="stable")[:most_terms]]
-    terms = np.sort(wanted[best])
+        sent = spark.sparkContext.broadcast((wanted, Machine(wanted, np.zeros(0), np.zeros((0, 1)), 0.0).sieve()))
+        other = counted(sample.where("label = 0"), sent).select("term", *[F.col(c).alias(f"y{c}") for c in names])
+        p, q = float(sizes[1]), float(sizes[0])
+
+        def chi2(name: str) -> Column:
+            x, y = F.col(name).cast("double"), F.coalesce(F.col(f"y{name}"), F.lit(0)).cast("double")
+            spread = (x + y) * (F.lit(p + q) - x - y) * p * q
+            gap = x * (F.lit(q) - y) - y * (F.lit(p) - x)
+            return F.when(spread > 0, F.lit(p + q) * (gap * gap) / F.greatest(spread, F.lit(1.0))).otherwise(0.0)
+
+        told = often.join(other, "term", "left").select("term", F.greatest(*map(chi2, names)).alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
+        wanted = told.orderBy(F.desc("chi2"), "term").limit(most_terms).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64)
+    terms = np.sort(wanted)
     bare = Machine(terms, np.zeros(len(terms)), np.zeros((len(terms), 1)), 0.0)
     sifted = spark.sparkContext.broadcast((bare, bare.sieve()))
 

@@ -80,3 +80,14 @@ def test_no_labels_one_class_and_empty_table(spark):
     ones = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, toxic int")
     assert {r.toxicity > 0.99 for r in tx.score(docs, tx.fit(docs, ones)).collect()} == {True}
     assert tx.score(docs.limit(0), tx.fit(docs, ones)).count() == 0
+
+
+def test_rare_terms_of_the_toxic_class_outdo_frequent_ones(spark):
+    # Each insult stands in twenty of a hundred toxic texts, the common words in all texts.
+    common = " ".join(f"{c}{c}word{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    insults = ["qxvjkt", "wyvern", "blorpa", "snidgy", "clodhop"]
+    rows = [(i, f"{common} {insults[i // 3 % 5]}" if i % 3 == 0 else common, "", 0) for i in range(300)]
+    marked = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    machine = tx.fit(spark.createDataFrame(rows, DOCS), marked, most_terms=5)
+    rude = {h for hs, _ in tx.terms_of(pa.array([f"a {w}" for w in insults] + [f"zwordz {w}" for w in insults], pa.large_string())) for h in hs.tolist()}
+    assert len(machine.terms) == 5 and set(machine.terms.tolist()) <= rude
