@@ -394,9 +394,12 @@ def _figures(spark, sf_dir):
 SELECT p.label AS section, p.vec_id AS prod_id, s.vec_id AS stage_id, round(greatest(list_inner_product(p.v, s.v), 0), 5) AS similarity FROM p JOIN s ON p.label = s.label WHERE list_inner_product(p.v, s.v) >= 0.3""")
 def figure_similarities(spark, sf_dir):
     """Figures of one section by normalised correlation of their thumbnails."""
-    f = _figures(spark, sf_dir)
+    return _similar(_figures(spark, sf_dir), "vec_id % 2 = 1 and vec_id % 3 = 0")
+
+
+def _similar(f, stage):
     p = f.where("vec_id % 2 = 0").select("section", F.col("vec_id").alias("prod_id"), F.col("v").alias("a"))
-    s = f.where("vec_id % 2 = 1 and vec_id % 3 = 0").select("section", F.col("vec_id").alias("stage_id"), F.col("v").alias("b"))
+    s = f.where(stage).select("section", F.col("vec_id").alias("stage_id"), F.col("v").alias("b"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     return p.join(s, "section").withColumn("dot", dot).where("dot >= 0.3").select("section", "prod_id", "stage_id", F.round(F.greatest("dot", F.lit(0.0)), 5).alias("similarity"))
 
@@ -404,7 +407,7 @@ def figure_similarities(spark, sf_dir):
 @query()
 def figures_matched(spark, sf_dir):
     """One-to-one figures of a section, best first."""
-    return C.greedy_pairs(figure_similarities(spark, sf_dir), ["section"], "prod_id", "stage_id", "similarity")
+    return C.greedy_pairs(_similar(_figures(spark, sf_dir), "vec_id % 2 = 1"), ["section"], "prod_id", "stage_id", "similarity")
 
 
 _HASH = "CAST((vec_id * 2654435761) % 4294967296 AS BIGINT)"
