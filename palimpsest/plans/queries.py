@@ -393,7 +393,7 @@ def _figures(spark, sf_dir):
 @query(f"""WITH e AS ({_VEC}), p AS (SELECT * FROM e WHERE vec_id % 2 = 0), s AS (SELECT * FROM e WHERE vec_id % 2 = 1 AND vec_id % 3 = 0)
 SELECT p.label AS section, p.vec_id AS prod_id, s.vec_id AS stage_id, round(greatest(list_inner_product(p.v, s.v), 0), 5) AS similarity FROM p JOIN s ON p.label = s.label WHERE list_inner_product(p.v, s.v) >= 0.3""")
 def figure_similarities(spark, sf_dir):
-    """Figures of one section by normalised correlation of their thumbnails."""
+    """Figures of one section by correlation of their thumbnails: the second half of I3, without hashes."""
     return _similar(_figures(spark, sf_dir), "vec_id % 2 = 1 and vec_id % 3 = 0")
 
 
@@ -406,7 +406,7 @@ def _similar(f, stage):
 
 @query()
 def figures_matched(spark, sf_dir):
-    """One-to-one figures of a section, best first."""
+    """One-to-one figures of a section, best first: a single pass from 0.3 on, not the steps of I5."""
     return C.greedy_pairs(_similar(_figures(spark, sf_dir), "vec_id % 2 = 1"), ["section"], "prod_id", "stage_id", "similarity")
 
 
