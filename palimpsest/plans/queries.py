@@ -578,4 +578,7 @@ def phrases_present(spark, sf_dir):
     terms = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
     wanted = items.select("item_id", "phrase", longest.alias("word"))
     may = terms.join(wanted, "word").select("doc_id", "item_id", "phrase")
-    return may.join(docs, "doc_id").where(F.contains("text", F.col("phrase"))).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    found = may.join(docs, "doc_id").where(F.contains("text", F.col("phrase"))).select("item_id", "doc_id")
+    # Passages without an inner word are looked for in all texts.
+    bare = docs.join(wanted.where("word is null"), F.contains("text", F.col("phrase"))).select("item_id", "doc_id")
+    return found.unionAll(bare).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
