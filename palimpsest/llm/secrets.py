@@ -74,11 +74,8 @@ def _parts(node) -> tuple[set[str] | None, Query]:
             continue
         if exact is not None:
             queries.append(_of_strings(exact))
-        if more is not None:
-            exact = more
-        else:
-            exact = {""}
-            queries.append(False)  # a gap: what follows does not adjoin what came before
+        exact = {""} if more is None else more
+        queries.append(False)  # a gap: what follows does not adjoin what came before, or not all of it
     gap = any(q is False for q in queries)
     queries = [q for q in queries if q is not False]
     if gap or len(queries) > 1 and not exact:

@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import product
 
 import pytest
 
@@ -60,3 +61,15 @@ def test_rules_that_scan_fully_and_empty_tables(spark):
     out = sc.find_secrets(spark.createDataFrame([(1, "0" * 30, "", 0)], SCHEMA), rules=only).first()
     assert [(s.start, s.end) for s in out.secrets] == [(0, 30)]
     assert sc.find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_nested_group_of_many_strings_leaves_a_gap():
+    def holds(query, text):
+        if isinstance(query, tuple):
+            return (all if query[0] == "and" else any)(holds(q, text) for q in query[1])
+        return query is True or query in text
+
+    regex = "key-([ab][cd][ef][gh][ij][kl][mn])"
+    query = sc.trigram_query(regex)
+    texts = ["key-" + "".join(t) for t in product("ab", "cd", "ef", "gh", "ij", "kl", "mn")]
+    assert all(re.fullmatch(regex, t) and holds(query, t) for t in texts) and not holds(query, "kex")
