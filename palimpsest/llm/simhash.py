@@ -4,8 +4,8 @@ A 64-bit fingerprint is embedded as the bit counts of its 16 four-bit segments.
 distance of two embeddings never exceeds the Hamming distance of the fingerprints, so all links
 lie within `radius` of each other on that grid. The range join on the grid is exact: the segments
 are dealt into `radius + 3` groups, a pair within the radius agrees in at least three whole groups,
-and a cell is a choice of three groups with their counts. Inside a cell the Manhattan bound, then
-the exact Hamming distance, decide.
+and a cell is a choice of three groups with their counts. Only the grid uses the Manhattan bound;
+inside a cell the exact Hamming distance, which implies it, decides.
 
 A cell of more than CELL_ROWS distinct fingerprints is dealt in blocks, every pair of blocks in a
 task of its own, so no cell grows a task without bound and no pair is lost. Only links that span a
