@@ -1,26 +1,36 @@
-"""What the operators share: the shared folder, Arrow text helpers, column checks."""
+"""What the operators share: the shared folder, mapped arrays, Arrow text helpers, column names."""
 
 from __future__ import annotations
 
 import ctypes
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text handled at once inside a Python worker; a single longer text is still taken whole.
 SLICE_BYTES = 4 << 20
+#: Arrays that a worker keeps mapped; each holds a file descriptor.
+MOST_MAPPED = 384
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir; where it is unset, one of our own, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -31,32 +41,65 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/palimpsest-{label}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """What a result may still read stays until the driver ends, and goes then."""
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, read back from a table in the shared folder: lineage ends there."""
+    """The same rows, read back from a table in the shared folder: lineage ends there. It goes with drop_written() or the driver."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table that written() made, once nothing reads it any more."""
-    if path := getattr(df, "_palimpsest_path", None):
-        delete_path(df.sparkSession, path)
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "_palimpsest_path", None):
+            delete_path(df.sparkSession, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots and blanks included."""
+    return [F.col(quoted(c)) for c in columns]
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names for columns of our own that no column of the user's has, whatever the case."""
+    used = {c.lower() for c in taken}
+    return [next(n for k in range(len(used) + 1) if (n := f"_{w}" + "_" * k).lower() not in used) for w in wanted]
+
+
+def text_of(name: str) -> Column:
+    """A column as text; null is the empty text."""
+    return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else; lower() is the fast form wherever the text is ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -68,6 +111,75 @@ def id_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def running_sums(lengths: Column, part: int = 256) -> Column:
+    """Sums of an array of BIGINT up to each place, summed by parts of `part` values, so that no step copies all that came before."""
+    n, none = F.size(lengths), F.expr("cast(array() as array<bigint>)")
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))
+    add = lambda done, x: F.concat(done, F.array(last(done) + x))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / part).cast("int")), lambda k: F.aggregate(F.slice(lengths, k * part + 1, part), none, add))
+    # What comes before each part.
+    before = lambda p: F.aggregate(p, F.array(F.lit(0).cast("long")), lambda done, x: F.concat(done, F.array(last(done) + last(x))))
+    summed = F.transform(F.array(parts), lambda p: F.flatten(F.zip_with(p, F.slice(before(p), 1, F.size(p)), lambda own, base: F.transform(own, lambda x: x + base))))
+    return F.when(n > 0, F.get(summed, 0)).otherwise(none)
+
+
+def with_column(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], out: str, kind: T.DataType, drop: int = 0) -> DataFrame:
+    """mapInArrow for a function that leaves all columns of its batches (but the last `drop`) and adds one, whatever their names are: Spark's own takes no dots."""
+    fields = rows.schema.fields[: len(rows.columns) - drop] + [T.StructField(out, kind)]
+    names, plain = rows.columns, [f"c{k}" for k in range(len(fields))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(plain)
+
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, fields, strict=True)])
+    return rows.toDF(*[f"r{k}" for k in range(len(names))]).mapInArrow(renamed, schema).toDF(*[f.name for f in fields])
+
+
+def store_of(path: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+
+
+def write_array(folder: str, name: str, array: np.ndarray) -> None:
+    """An array as a file of its own, under a passing name first: a task that runs again leaves the same file."""
+    fs, path = store_of(folder)
+    fs.create_dir(path, recursive=True)
+    passing, final = f"{path}/.{name}-{os.getpid()}-{os.urandom(4).hex()}", f"{path}/{name}.npy"
+    with fs.open_output_stream(passing) as f:
+        np.lib.format.write_array(f, np.ascontiguousarray(array), allow_pickle=False)
+    try:
+        fs.move(passing, final)
+    except OSError:
+        # Some stores do not rename onto a file that is there; what is there came from the same rows.
+        if fs.get_file_info(final).type != pa.fs.FileType.File:
+            raise
+        fs.delete_file(passing)
+
+
+_mapped: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+def read_array(folder: str, name: str) -> np.ndarray:
+    """A mapped array. What a store cannot map is copied once for each executor, into its own folder that ends with the application."""
+    key = f"{folder}/{name}"
+    if key not in _mapped:
+        fs, path = store_of(folder)
+        path = f"{path}/{name}.npy"
+        if not isinstance(fs, pa.fs.LocalFileSystem):
+            local = os.path.join(SparkFiles.getRootDirectory(), os.path.basename(folder.rstrip("/")), f"{name}.npy")
+            if not os.path.exists(local):
+                os.makedirs(os.path.dirname(local), exist_ok=True)
+                passing = f"{local}-{os.getpid()}"
+                pa.fs.copy_files(path, passing, source_filesystem=fs)
+                os.replace(passing, local)
+            path = local
+        while len(_mapped) >= MOST_MAPPED:
+            _mapped.popitem(last=False)
+        _mapped[key] = np.load(path, mmap_mode="r", allow_pickle=False)
+    _mapped.move_to_end(key)
+    return _mapped[key]
+
+
 def release_memory() -> None:
     """Gives freed memory back: workers are used again, and what they hold on to counts against the executor."""
     pa.default_memory_pool().release_unused()

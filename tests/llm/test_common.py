@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import common, simhash
 
@@ -32,3 +34,24 @@ def test_fingerprints_do_not_depend_on_slices():
     whole = simhash.fingerprints_of(common.texts_of(rows, "text"), 3)
     parts = [simhash.fingerprints_of(common.texts_of(p, "text"), 3) for _, p in common.slices(rows, "text", 2000)]
     assert (np.concatenate(parts) == whole).all()
+
+
+def test_running_sums(spark):
+    rnd = random.Random(3)
+    rows = [(i, [rnd.randrange(9) for _ in range(n)]) for i, n in enumerate([0, 1, 3, 4, 5, 8, 300, 1025])]
+    df = spark.createDataFrame(rows, "i int, x array<bigint>")
+    for part in (4, 256):
+        got = {r.i: r.s for r in df.select("i", common.running_sums(F.col("x"), part).alias("s")).collect()}
+        assert got == {i: np.cumsum(x).tolist() for i, x in rows}
+
+
+def test_free_names_avoid_what_is_there():
+    assert common.free_names(["a", "_ID", "_id_"], "id", "b") == ["_id__", "_b"]
+
+
+def test_written_tables_are_read_back_and_dropped(spark):
+    df = common.written(spark.range(5), "trial")
+    assert df.count() == 5
+    common.drop_written(df)
+    fs, path = common.store_of(df._palimpsest_path)
+    assert fs.get_file_info(path).type == pa.fs.FileType.NotFound
