@@ -15,18 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.llm.common import blank_split, joined, slices, texts_of, written
+from palimpsest.llm.common import blank_split, drop_written, free_names, joined, named, quoted, release_memory, slices, text_of, texts_of, with_column, written
 
 #: Bounds: labelled documents that are read, terms in the model. Both are parameters of fit().
 SAMPLE_DOCS, MOST_TERMS = 12_000, 20_000
 #: A term must occur in so many positive documents of the sample, and so clearly (chi-squared), to be chosen.
 LEAST_DOCS, LEAST_CHI2 = 5, 24.0
 SIZES = (5, 6, 8)
-#: A term's features: found so many times or more.
-TIMES = (1, 2, 4)
+#: A term's features: found so many times or more. Factors of each.
+TIMES, FACTORS = (1, 2, 4), 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,50 +102,84 @@ SIEVE_BITS = 20
 SLICE = 1 << 20
 
 
-def train(doc: np.ndarray, term: np.ndarray, label: np.ndarray, terms: np.ndarray, factors: int = 4, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> Machine:
-    """AdaGrad on the log loss of all documents at once; the classes weigh alike up to a factor of ten."""
+def train(doc: np.ndarray, term: np.ndarray, label: np.ndarray, terms: np.ndarray, factors: int = FACTORS, epochs: int = 300, rate: float = 0.1, decay: float = 1e-4, seed: int = 0) -> Machine:
+    """AdaGrad on the log loss of all documents at once; the classes weigh alike up to a factor of ten.
+
+    One value a (document, feature) pair is held for each of five arrays, whatever the number of factors.
+    """
     rnd = np.random.default_rng(seed)
     n, m = len(label), len(terms) * len(TIMES)
-    w, v, b = np.zeros(m), rnd.normal(0, 0.05, (m, factors)), 0.0
-    gw, gv, gb = np.full(m, 1e-8), np.full((m, factors), 1e-8), 1e-8
+    w, v, b = np.zeros(m), np.ascontiguousarray(rnd.normal(0, 0.05, (m, factors)).T), 0.0
+    gw, gv, gb = np.full(m, 1e-8), np.full((factors, m), 1e-8), 1e-8
     share = label.mean()
     scale = np.where(label == 1, min(10.0, 0.5 / share), 1.0)
     scale /= scale.sum()
+    sums = np.empty((factors, n))
     for _ in range(epochs):
-        sums = np.stack([np.bincount(doc, v[term, k], n) for k in range(factors)], axis=1)
-        squares = np.stack([np.bincount(doc, v[term, k] ** 2, n) for k in range(factors)], axis=1)
-        z = b + np.bincount(doc, w[term], n) + 0.5 * (sums**2 - squares).sum(axis=1)
+        z = b + np.bincount(doc, w[term], n)
+        for k in range(factors):
+            own = v[k][term]
+            sums[k] = np.bincount(doc, own, n)
+            own *= own
+            z += 0.5 * (sums[k] ** 2 - np.bincount(doc, own, n))
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * scale
         each = off[doc]
-        dw = np.bincount(term, each, m) + decay * w
-        dv = np.stack([np.bincount(term, each * (sums[doc, k] - v[term, k]), m) for k in range(factors)], axis=1) + decay * v
+        dw, dv = np.bincount(term, each, m) + decay * w, np.empty_like(v)
+        for k in range(factors):
+            own = sums[k][doc]
+            own -= v[k][term]
+            own *= each
+            dv[k] = np.bincount(term, own, m) + decay * v[k]
         db = off.sum()
         gw, gv, gb = gw + dw**2, gv + dv**2, gb + db**2
         w, v, b = w - rate * dw / np.sqrt(gw), v - 0.3 * rate * dv / np.sqrt(gv), b - rate * db / np.sqrt(gb)
-    return Machine(terms, w, v, float(b))
+    return Machine(terms, w, np.ascontiguousarray(v.T), float(b))
+
+
+def _trained(terms: np.ndarray):
+    """One task's work: the bags of the bounded sample in, one row with the machine's arrays out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, sizes, found = [], [], [np.zeros(0, np.int64)]
+        for batch in batches:
+            labels.append(np.asarray(batch.column("label"), np.float64))
+            lists = batch.column("terms")
+            sizes.append(np.asarray(pc.list_value_length(lists), np.int64))
+            found.append(np.asarray(lists.flatten(), np.int64))
+        if not labels:
+            return
+        size = np.concatenate(sizes)
+        machine = train(np.repeat(np.arange(len(size)), size), np.concatenate(found), np.concatenate(labels), terms)
+        yield pa.RecordBatch.from_arrays([pa.array([machine.weight.tobytes()]), pa.array([machine.factor.tobytes()]), pa.array([machine.bias])], ["weight", "factor", "bias"])
+        release_memory()
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, sample_docs: int = SAMPLE_DOCS, most_terms: int = MOST_TERMS) -> Machine:
     """A machine learnt from labelled documents, of which about `sample_docs` are drawn by a hash of their id.
 
-    `learn` says which labels may be used. A document with several labels is toxic if one says so; null
-    ids, labels or texts teach nothing. Where only one class is left, the machine scores all texts alike,
-    by that class (0 without labels).
+    `learn` says which labels may be used. A document with several labels is toxic if one says so; of rows
+    that repeat an id the first text in alphabetical order counts; null ids, labels or texts teach nothing.
+    Where only one class is left, the machine scores all texts alike, by that class (0 without labels). The
+    sample is counted, chosen from and fitted on executors, the fit in one task: only hashes of terms and
+    the machine itself, both bounded by the sample, come to the driver.
     """
     spark = docs.sparkSession
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-    known = (known if learn is None else known.where(learn)).groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
+    known = labels.where(F.col(quoted(id_col)).isNotNull() & F.col(quoted(label_col)).isNotNull())
+    known = (known if learn is None else known.where(learn)).groupBy(F.col(quoted(id_col)).cast("long").alias("_id")).agg((F.max(quoted(label_col)) > 0).cast("int").alias("label"))
     there = known.count()
     if not there:
         return Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 1)), -30.0)
     share = min(1.0, sample_docs / there)
     # The sample is bounded by a parameter, and so is what is broadcast of it.
     drawn = known.where(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share))
-    text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample = written(text.join(F.broadcast(drawn), "_id"), "toxicity-sample")
+    text = docs.select(F.col(quoted(id_col)).cast("long").alias("_id"), F.col(quoted(text_col)).cast("string").alias("text")).where("text is not null")
+    sample = written(text.join(F.broadcast(drawn), "_id").groupBy("_id", "label").agg(F.min("text").alias("text")), "toxicity-sample")
     positive = sample.where("label = 1")
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
+        drop_written(sample)
         return Machine(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 1)), 30.0 if 1 in sizes else -30.0)
 
     def counted(rows: DataFrame, keep=None) -> DataFrame:
@@ -175,11 +211,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return each.groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
 
     names = [f"n{k}" for k in range(len(TIMES))]
+    hashes = lambda df: np.sort(df.select("term").toArrow().column("term").to_numpy().view(np.uint64))
     # Every term of enough positive documents; the sample bounds their number, and so what is broadcast of them.
     often = written(counted(positive).where(F.col("n0") >= LEAST_DOCS), "toxicity-terms")
-    wanted = np.sort(often.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
-    if len(wanted):
-        sent = spark.sparkContext.broadcast((wanted, Machine(wanted, np.zeros(0), np.zeros((0, 1)), 0.0).sieve()))
+    terms = hashes(often)
+    if len(terms):
+        sent = spark.sparkContext.broadcast((terms, Machine(terms, np.zeros(0), np.zeros((0, 1)), 0.0).sieve()))
         other = counted(sample.where("label = 0"), sent).select("term", *[F.col(c).alias(f"y{c}") for c in names])
         p, q = float(sizes[1]), float(sizes[0])
 
@@ -190,27 +227,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return F.when(spread > 0, F.lit(p + q) * (gap * gap) / F.greatest(spread, F.lit(1.0))).otherwise(0.0)
 
         told = often.join(other, "term", "left").select("term", F.greatest(*map(chi2, names)).alias("chi2")).where(F.col("chi2") >= LEAST_CHI2)
-        wanted = told.orderBy(F.desc("chi2"), "term").limit(most_terms).select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64)
-    terms = np.sort(wanted)
+        terms = hashes(told.orderBy(F.desc("chi2"), "term").limit(most_terms))
+        sent.destroy()
+    drop_written(often)
     bare = Machine(terms, np.zeros(len(terms)), np.zeros((len(terms), 1)), 0.0)
-    sifted = spark.sparkContext.broadcast((bare, bare.sieve()))
+    chosen = spark.sparkContext.broadcast(bare)
 
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, sieve = sifted.value
+        machine, sieve = chosen.value, chosen.value.sieve()
         for batch in batches:
             for _, part in slices(batch, "text", SLICE):
                 doc, term = machine.bags(texts_of(part, "text"), sieve)
-                each = np.split(term.astype(np.int32), np.searchsorted(doc, np.arange(1, part.num_rows)))
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(each, pa.list_(pa.int32()))], ["label", "terms"])
+                starts = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("label"), pa.ListArray.from_arrays(pa.array(starts), pa.array(term.astype(np.int32)))], ["_id", "label", "terms"])
 
-    bags = sample.orderBy("_id").select("label", "text").mapInArrow(bagged, "label int, terms array<int>").toPandas()
-    doc = np.repeat(np.arange(len(bags)), [len(t) for t in bags["terms"]])
-    term = np.concatenate([np.asarray(t, np.int64) for t in bags["terms"]]) if len(doc) else np.zeros(0, np.int64)
-    return train(doc, term, bags["label"].to_numpy(float), terms)
+    bags = sample.mapInArrow(bagged, "_id long, label int, terms array<int>")
+    row = bags.repartition(1).sortWithinPartitions("_id").mapInArrow(_trained(terms), "weight binary, factor binary, bias double").first()
+    chosen.destroy()
+    drop_written(sample)
+    return Machine(terms, np.frombuffer(row.weight), np.frombuffer(row.factor).reshape(len(terms) * len(TIMES), FACTORS), row.bias)
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """`docs` with a column `out`, the score of every whole text (a null text is empty); a column of that name is replaced."""
+    """`docs` with a column `out`, the score of every whole text; a column of that name is replaced, all others are kept.
+
+    A null text is empty, and an empty one is scored like any other, by the bias alone. Rows are scored one by
+    one, so repeats get the same score; an empty table gives no rows.
+    """
     rows = docs.drop(out)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
@@ -221,15 +264,19 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str =
                 scores = sent.value.score(texts_of(part, text_col), sieve)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, `{out}` double")
+    return with_column(rows, run, out, T.DoubleType())
 
 
 def learnable(id_col: str = "doc_id", folds: int = 5, held_out: int = 0) -> Column:
     """Rows whose crc32 of the id as text is not `held_out` modulo `folds`; a null id is the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds != held_out
+    return F.crc32(text_of(id_col).cast("binary")) % folds != held_out
 
 
 def without_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """`docs` without what scores at least `least`, columns as they were."""
-    return score(docs, machine, text_col, "_toxicity").where(F.col("_toxicity") < least).select(*docs.columns)
+    """`docs` without what scores at least `least`, columns as they were.
+
+    Null and empty texts have the score of the bias; rows of one text stay or go together, whatever their
+    ids; an empty table stays empty.
+    """
+    (own,) = free_names(docs.columns, "toxicity")
+    return score(docs, machine, text_col, own).where(F.col(own) < least).select(*named(docs.columns))

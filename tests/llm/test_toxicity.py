@@ -1,7 +1,10 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from palimpsest.llm import toxicity as tx
 
@@ -43,6 +46,21 @@ def test_machine_equals_the_plain_formula():
         assert abs(m.score_bags(np.zeros(len(bag), int), np.array(bag, int), 1)[0] - 1 / (1 + np.exp(-z))) < 1e-12
 
 
+def plain_score(machine, text):
+    """The score of a text by the definition, window by window and pair by pair."""
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    s, seen = b" " + b" ".join(words) + b" ", Counter()
+    for size in tx.SIZES if words else ():
+        for i in range(len(s) - size + 1):
+            h = (int.from_bytes(s[i : i + size], "little") * int(tx.MIX) + size) % 2**64
+            seen[h ^ h >> 29] += 1
+    place = {int(t): k for k, t in enumerate(machine.terms)}
+    bag = [place[h] * len(tx.TIMES) + k for h, n in seen.items() if h in place for k, least in enumerate(tx.TIMES) if n >= least]
+    v = machine.factor[bag]
+    z = machine.bias + machine.weight[bag].sum() + 0.5 * ((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
 def corpus():
     rnd = random.Random(3)
     plain = ["".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 8))) for _ in range(400)]
@@ -82,6 +100,14 @@ def test_no_labels_one_class_and_empty_table(spark):
     assert tx.score(docs.limit(0), tx.fit(docs, ones)).count() == 0
 
 
+def test_rows_of_one_id_are_one_document_of_the_sample(spark):
+    rows, labels = corpus()
+    docs, marked = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    once = tx.fit(docs, marked)
+    again = tx.fit(docs.unionAll(docs).unionAll(docs.withColumn("text", F.concat(F.lit("~"), "text"))), marked)
+    assert (once.terms == again.terms).all() and np.allclose(once.weight, again.weight) and once.bias == again.bias
+
+
 def test_rare_terms_of_the_toxic_class_outdo_frequent_ones(spark):
     # Each insult stands in twenty of a hundred toxic texts, the common words in all texts.
     common = " ".join(f"{c}{c}word{c}" for c in "abcdefghijklmnopqrstuvwxyz")
