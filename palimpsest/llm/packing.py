@@ -9,6 +9,8 @@ on their order, so a task that runs again gives the same windows.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -19,54 +21,117 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from palimpsest.llm.common import slices, texts_of
+from palimpsest.llm.common import quoted, slices, texts_of
 
-#: Words whose ids a worker remembers (about 40 bytes each); beyond it the store is emptied.
-WORDS_KEPT = 600_000
+#: Words whose ids a worker remembers (about 40 bytes each); beyond it those that never came twice are forgotten.
+WORDS_KEPT = 800_000
 LEARNT_AT_ONCE = 4096
 #: Text tokenised at once.
-SLICE = 4 << 20
+SLICE = 6 << 20
+#: Words of these letters, with these marks after them or not, are one piece or two to a tokenizer that parts letters from marks.
+PLAIN, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 
 
 class WordTokenizer:
-    """Ids of whole texts, for tokenizers that never look across ASCII blanks: each distinct word is tokenised once."""
+    """Ids of whole texts, for tokenizers that never look across ASCII blanks: each distinct word is tokenised once.
+
+    If the tokenizer marks the ends of words, plain words (PLAIN letters, then MARKS) are tokenised many
+    at once, as one text: how many pieces each has is known, and so is where its ids end. That this holds
+    for a tokenizer is tried on a few words when it is loaded; if not, each word is tokenised alone.
+    """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks run side by side already
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = pa.array([], pa.large_string())
-        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, new: pa.Array) -> None:
-        words = new.to_pylist()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+            some = ["Hello,", "wörld", "ÀÉ?!", "a", "it", "tell", "Zebra:", "ÿ..."]
+            if (found := self._many(some, np.array([2, 1, 2, 1, 1, 1, 2, 2]), ends)) and found[0].tolist() == [i for w in some for i in self._ids(w)]:
+                self.ends = ends
+        self._keep(np.zeros(0, bool))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _keep(self, which: np.ndarray) -> None:
+        """Forgets all known words but these."""
+        if not which.any():
+            self.known = pa.array([], pa.large_string())
+            self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        else:
+            n = np.diff(self.start)
+            self.known, self.ids = self.known.filter(pa.array(which)), self.ids[np.repeat(which, n)]
+            self.start = np.concatenate(([0], np.cumsum(n[which])))
+        self.again = np.zeros(len(self.known), bool)
+
+    def _many(self, words: list[str], pieces: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of plain words, tokenised as one text, and how many each has; None if their pieces are not as many as they should be."""
+        ids = np.array(self._ids(" ".join(words)), np.uint32)
+        place, last = np.flatnonzero(ends[ids]) + 1, np.cumsum(pieces)
+        if len(place) != last[-1] or place[-1] != len(ids):
+            return None
+        return ids, np.diff(place[last - 1], prepend=0)
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Learns words that are not known; where each of them is now."""
+        order, found, counts = [], [], []
+        alone = np.arange(len(new))
+        if self.ends is not None:
+            plain = np.asarray(pc.match_substring_regex(new, f"^[{PLAIN}]+[{MARKS}]*$"))
+            pieces = 1 + np.asarray(pc.match_substring_regex(new, f"[{re.escape(MARKS)}]$"))
+            alone = np.flatnonzero(~plain)
+            for part in np.array_split(np.flatnonzero(plain), max(1, -(-int(plain.sum()) // LEARNT_AT_ONCE))):
+                if not len(part):
+                    continue
+                got = self._many(new.take(pa.array(part)).to_pylist(), pieces[part], self.ends)
+                if got is None:
+                    alone = np.concatenate((alone, part))
+                    continue
+                order.append(part)
+                found.append(got[0])
+                counts.append(got[1])
         # An encoding is much larger than its ids, so few are alive at once.
-        each = [e.ids for k in range(0, len(words), LEARNT_AT_ONCE) for e in self.tokenizer.encode_batch_fast(words[k : k + LEARNT_AT_ONCE], add_special_tokens=False)]
-        n = np.fromiter(map(len, each), np.int64, len(each))
-        self.known = pa.concat_arrays([self.known, new])
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(n)))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(each), np.uint32, int(n.sum()))))
+        for k in range(0, len(alone), LEARNT_AT_ONCE):
+            part = alone[k : k + LEARNT_AT_ONCE]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(new.take(pa.array(part)).to_pylist(), add_special_tokens=False)]
+            n = np.fromiter(map(len, each), np.int64, len(each))
+            order.append(part)
+            found.append(np.fromiter(chain.from_iterable(each), np.uint32, int(n.sum())))
+            counts.append(n)
+        learnt = np.concatenate(order)
+        place = np.empty(len(new), np.int64)
+        place[learnt] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(learnt))])
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(counts))))
+        self.ids = np.concatenate((self.ids, *found))
+        self.again = np.concatenate((self.again, np.zeros(len(new), bool)))
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids start (one more at the end)."""
         lists = pc.ascii_split_whitespace(texts)
         at = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if len(self.known) + len(coded.dictionary) > WORDS_KEPT:
-            self._forget()
-        place = pc.index_in(coded.dictionary, value_set=self.known)
-        if place.null_count:
-            before = len(self.known)
-            fresh = np.asarray(place.is_null())
-            self._learn(coded.dictionary.filter(pa.array(fresh)))
-            place = np.asarray(pc.fill_null(place, 0)).copy()
-            place[fresh] = before + np.arange(fresh.sum())
-        word = np.asarray(place)[np.asarray(coded.indices)]
+        if len(self.known) + len(words) > WORDS_KEPT:
+            self._keep(self.again if self.again.sum() <= WORDS_KEPT // 2 else np.zeros(len(self.again), bool))
+        place = pc.index_in(words, value_set=self.known)
+        fresh = np.asarray(place.is_null())
+        place = np.asarray(pc.fill_null(place, 0)).astype(np.int64)
+        if fresh.any():
+            place[fresh] = self._learn(words.filter(pa.array(fresh)))
+        # Worth remembering is what came again, be it in the same slice.
+        self.again[place[~fresh | (np.bincount(np.asarray(coded.indices), minlength=len(words)) > 1)]] = True
+        word = place[np.asarray(coded.indices)]
         n = np.diff(self.start)[word]
         ends = np.cumsum(n)
         flat = self.ids[np.arange(ends[-1]) + np.repeat(self.start[word] - (ends - n), n)]
@@ -140,40 +205,60 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return number, offset
 
 
+def cut(flat: np.ndarray, at: np.ndarray, window: int, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All ids with `end_id` after each text; the text of each piece, where it starts among all ids and how long it is."""
+    size = np.diff(at) + 1
+    ends = np.cumsum(size)
+    ids = np.full(int(ends[-1]) if len(ends) else 0, end_id, "<u4")
+    own = np.ones(len(ids), bool)
+    own[ends - 1] = False
+    ids[own] = flat
+    n = -(-size // window)
+    of = np.repeat(np.arange(len(size)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = (ends - size)[of] + nth * window
+    return ids, of, start, np.minimum(window, ends[of] - start)
+
+
+def _schema(keep_ids: bool, placed: bool = False) -> T.StructType:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    fields = [T.StructField(n, T.LongType()) for n in names] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids
+    return T.StructType(fields + [T.StructField(n, T.LongType()) for n in ("sequence_id", "offset")] * placed)
+
+
 def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): each text's ids and `end_id`, cut into full windows and a rest.
 
-    A null text is empty and gives the end id alone. Rows keep their id, null or repeated.
+    A null text is empty and gives the end id alone. Rows keep their id, null or repeated; an empty table
+    gives no rows, and other columns are not looked at.
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizer(tokenizer)
         for batch in batches:
             for _, part in slices(batch, "text", SLICE):
-                flat, at = coder.encode(texts_of(part, "text"))
-                rows = [[] for _ in range(5 + keep_ids)]
-                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    ids = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
-                    for s in range(0, len(ids), window):
-                        piece = ids[s : s + window]
-                        for row, x in zip(rows, (doc_id, s, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int32)), strict=False):
-                            row.append(x)
-                kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * keep_ids
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(rows)])
+                ids, of, start, length = cut(*coder.encode(texts_of(part, "text")), window, end_id)
+                size = np.bincount(of, length, part.num_rows).astype(np.int64)
+                first = np.cumsum(size) - size
+                data = memoryview(ids).cast("B")
+                crc = np.fromiter((zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(start.tolist(), length.tolist(), strict=True)), np.int64, len(of))
+                columns = [part.column("doc_id").take(pa.array(of)), pa.array(start - first[of]), pa.array(length), pa.array(crc), pa.array(size[of])]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(start, len(ids)).astype(np.int32)), pa.array(ids.view("<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, _schema(keep_ids).names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, _schema(keep_ids))
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """pieces() with sequence_id and offset: where each piece lies, gapless from 0 in its window.
 
     Every id of every document is in exactly one piece. Ties of length are ordered by id, then start;
-    rows that repeat an id are packed one by one. An empty table gives no rows. Partitions should hold
+    rows that repeat an id are packed one by one. An empty table gives no rows. Pieces are dealt by all
+    that is known of them, so rows without an id or of one id spread like others. Partitions should hold
     many pieces each: what a partition cannot fill stays open in its last windows.
     """
-    cut = pieces(docs, tokenizer, window, end_id, id_col, text_col, keep_ids)
-    names = [*cut.columns, "sequence_id", "offset"]
+    parts = pieces(docs, tokenizer, window, end_id, id_col, text_col, keep_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -186,5 +271,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
         rows = rows.append_column("sequence_id", pa.array(np.asarray(number, np.int64) + base)).append_column("offset", pa.array(offset, pa.int64()))
         yield from rows.to_batches(max_chunksize=65536)
 
-    spread = cut.repartition(F.xxhash64("doc_id", "start"))
-    return spread.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields) + ", sequence_id long, offset long").select(*names)
+    spread = parts.repartition(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"))
+    return spread.mapInArrow(run, _schema(keep_ids, True))

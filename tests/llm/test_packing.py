@@ -68,5 +68,41 @@ def test_every_id_is_in_one_piece_and_windows_are_gapless(spark, whole):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 2048
 
 
+def test_words_are_forgotten_and_learnt_again(whole, monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 60)
+    coder, texts = packing.WordTokenizer(PATH), odd_texts()
+    for lo in range(0, 400, 40):
+        flat, at = coder.encode(pa.array(texts[lo : lo + 40], pa.large_string()))
+        for t, a, b in zip(texts[lo : lo + 40], at[:-1], at[1:], strict=True):
+            assert flat[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_plain_words_together_equal_words_alone(whole):
+    rnd = random.Random(6)
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)] if chr(c) not in "×÷"]
+    words = ["".join(rnd.choices(letters, k=rnd.randrange(1, 14))) + rnd.choice(["", "", ".", ",", "?!", "..."]) for _ in range(20000)]
+    coder = packing.WordTokenizer(PATH)
+    assert coder.ends is not None
+    flat, at = coder.encode(pa.array([" ".join(words)], pa.large_string()))
+    assert flat.tolist() == [i for e in whole.encode_batch(words, add_special_tokens=False) for i in e.ids]
+
+
+@pytest.fixture
+def parted(spark):
+    """Small tables keep their partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_little_padding_and_rows_without_an_id_spread(spark, parted):
+    rnd = random.Random(10)
+    rows = [(None if i % 2 else i, " ".join(rnd.choices(["alpha", "beta", "gamma"], k=rnd.randrange(20, 1500)))) for i in range(600)]
+    parts = packing.pack(spark.createDataFrame([(*r, "", 0) for r in rows], SCHEMA), PATH).selectExpr("*", "shiftright(sequence_id, 40) part").toPandas()
+    free = 2048 * parts.sequence_id.nunique() - parts.length.sum()
+    assert free <= 0.03 * parts.length.sum()
+    assert parts[parts.doc_id.isna()].part.nunique() == parts.part.nunique() > 1
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
