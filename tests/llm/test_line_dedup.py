@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import line_dedup
@@ -47,14 +48,41 @@ def test_equal_to_brute_force(spark):
         assert sorted(map(tuple, out.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=str) == brute(rows)
 
 
-def test_runs_are_levelled_and_mark_first_sightings(spark):
+BATCHES = [[(9, 10, 0), (8, 10, 0), (9, 11, 0), (9, 10, 0)], [(5, 10, 0), (5, 12, 0)], [(4, 12, 0), (4, 13, 0)]]
+
+
+def runs_of(spark, batches):
     runs = line_dedup.LineRuns(fanout=2)
-    batches = [[(1, 10, 0), (2, 10, 0), (1, 11, 0)], [(3, 10, 0), (3, 12, 0)], [(4, 12, 0), (4, 13, 0)]]
-    first = [sorted(r.h1 for r in runs.add(spark.createDataFrame(b, "id long, h1 long, h2 long")).where("first").collect()) for b in batches]
-    assert first == [[10, 11], [12], [13]]
+    for b in batches:
+        runs.add(spark.createDataFrame(b, "id long, h1 long, h2 long"))
+    return runs
+
+
+def test_runs_are_levelled_and_hold_first_sightings(spark):
+    runs = runs_of(spark, BATCHES)
     assert [len(level) for level in runs.levels] == [1, 1]
-    total = {r.h1: (r.n_docs, r.keeper) for r in line_dedup.merge_runs(runs.all()).collect()}
-    assert total == {10: (3, 3), 11: (1, 1), 12: (2, 4), 13: (1, 4)}
+    assert {r.h1: (r.n_docs, r.keeper) for r in runs.sightings().collect()} == {10: (2, 9), 11: (1, 9), 12: (1, 5), 13: (1, 4)}
+    assert sorted((r.h1, r.n_docs, r.keeper) for t in runs.tallies for r in t.rows().collect()) == [(10, 1, None), (12, 1, None)]
+    assert {r.h1: r.keeper for r in runs.repeated(2).collect()} == {10: 9, 12: 5} and {r.h1: r.keeper for r in runs.repeated(3).collect()} == {10: 9}
+    runs.drop()
+
+
+def test_the_anti_join_decides_who_keeps_a_line(spark, monkeypatch):
+    rows = corpus()
+    whole = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "text").collect()
+    join = DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, other, on=None, how=None: self if how == "left_anti" else join(self, other, on, how))
+    broken = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "text").collect()
+    assert sorted(whole, key=str) != sorted(broken, key=str)
+
+
+def test_runs_meet_as_they_lie(spark):
+    runs = runs_of(spark, BATCHES)
+    one, two = runs.runs()
+    with line_dedup._buckets_in_order(spark):
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (two.rows().join(one.rows().select(*line_dedup.KEY).hint("merge"), line_dedup.KEY, "left_anti"), line_dedup._by_hash(one.rows().unionAll(two.rows())))]
+    assert "SortMergeJoin" in plans[0] and not any("Exchange" in p for p in plans)
+    runs.drop()
 
 
 def test_plan_has_no_python_and_empty_table_works(spark):
