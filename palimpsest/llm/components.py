@@ -9,7 +9,7 @@ from palimpsest.llm.common import drop_written, written
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of `links` (a, b), root being the component's smallest node.
+    """(node, root) for every node of `links` (a, b), root being the component's smallest node; drop_written() deletes its table.
 
     Links may repeat, run either way or lead to themselves; nulls are dropped. Every round is two
     grouped minima and two joins on the same key, written to the shared folder: nothing of the
@@ -27,7 +27,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         mark = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    rooted = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    rooted._palimpsest_path = edges._palimpsest_path
+    return rooted
 
 
 def _ordered(links: DataFrame) -> DataFrame:

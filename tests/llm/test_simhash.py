@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -73,14 +74,45 @@ def test_links_connect_all_that_is_within_the_radius(spark):
     near = {(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3}
     from palimpsest.llm.components import components
 
-    for cell_rows in (4096, 3):
-        links = simhash.links(spark.createDataFrame(signed, "fp long"), cell_rows=cell_rows)
+    for cell_rows, groups in ((4096, None), (3, 6), (4096, 9)):
+        links = simhash.links(spark.createDataFrame(signed, "fp long"), cell_rows=cell_rows, n_groups=groups)
         assert links.where(F.expr("bit_count(a ^ b) > 3")).count() == 0
         root = {r.node: r.root for r in components(links).collect()}
         for i, j in near:
             assert root[signed[i][0]] == root[signed[j][0]]
 
 
+def test_the_manhattan_distance_rules_out_most_pairs_and_no_link():
+    rnd = np.random.default_rng(4)
+    a = rnd.integers(0, 2**64, 20000, dtype=np.uint64)
+    b = rnd.integers(0, 2**64, 20000, dtype=np.uint64)
+    b[:4000] = a[:4000]
+    for _ in range(3):
+        b[:4000] ^= np.uint64(1) << rnd.integers(0, 64, 4000).astype(np.uint64)
+    plain = lambda x, y: sum(abs((int(x) >> 4 * s & 15).bit_count() - (int(y) >> 4 * s & 15).bit_count()) for s in range(16))
+    got = simhash.manhattan(simhash.popcounts(a), simhash.popcounts(b))
+    assert got.tolist() == [plain(x, y) for x, y in zip(a, b, strict=True)]
+    hamming = np.bitwise_count(a ^ b)
+    assert (got <= hamming).all() and (got[hamming <= 3] <= 3).all()
+    # Of the pairs that share the counts of three groups of six, which is what meets in a cell, few pass.
+    words = [sum(15 << 4 * s for s in range(16) if s % 6 < 3), sum(15 << 4 * s for s in range(16) if s % 6 >= 3)]
+    c = (a & np.uint64(words[0])) | (b & np.uint64(words[1]))
+    left = simhash.manhattan(simhash.popcounts(a[4000:]), simhash.popcounts(c[4000:])) <= 3
+    assert left.mean() < 0.1
+    assert (simhash.near(a, b, simhash.popcounts(a), simhash.popcounts(b), 3) == (hamming <= 3)).all()
+
+
+def test_more_fingerprints_make_more_groups():
+    sizes = [simhash.groups_for(n, 3) for n in (10, 10**5, 10**7, 10**9, 10**11)]
+    assert sizes == sorted(sizes) and sizes[0] == 4 < sizes[1] < sizes[-1] <= 16
+
+
+def test_a_fingerprint_of_many_rows_is_joined_in_parts(spark):
+    rows = corpus() + [(1000 + i, "the very same words again", "", 0) for i in range(50)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=3, share_rows=7).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 3, 3)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
