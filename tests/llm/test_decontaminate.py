@@ -61,6 +61,16 @@ def test_equal_to_brute_force_in_one_shard_and_many(spark):
             assert found.columns == ["doc_id", "text", "_x", "contamination"]
 
 
+def test_blocks_stand_in_every_window():
+    for window in range(1, 16):
+        for n in range(1, 60):
+            words = [b"%d" % i for i in range(n)]
+            blocks = [(a, a + len(b)) for a, b in dc.blocks_of(words, window)]
+            size = min(window, n)
+            assert all(any(s <= a and b <= s + size for a, b in blocks) for s in range(n - size + 1))
+            assert sum(b - a for a, b in blocks) <= n + window
+
+
 def test_empty_tables_and_filter(spark):
     docs, items = data()
     none = spark.createDataFrame([], "item_id long, text string")
