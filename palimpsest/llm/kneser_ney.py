@@ -6,54 +6,33 @@ sorted word hashes with counts, sorted (context, word) pairs with counts, contex
 and numbers of words seen once, twice and more often, and for each word its number of different
 contexts. A word's id is its place among all hashes. Scoring looks up sorted needles in these files,
 which are mapped, not loaded. Files are written under a passing name and renamed, so a task that runs
-again leaves the same file.
+again leaves the same file. A worker maps a bounded number of them at once.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from palimpsest.llm.common import blank_split, drop_written, fresh_path, groups_of, slices, texts_of, written
+from palimpsest.llm.common import blank_split, delete_at_exit, delete_path, drop_written, fresh_path, groups_of, read_array, slices, text_of, texts_of, with_column, write_array, written
 
-#: Text bytes that a shard stands for, and the most shards.
-SHARD_BYTES, MOST_SHARDS = 32 << 20, 4096
+#: Text bytes that a shard stands for; the number of shards has no upper limit.
+SHARD_BYTES = 32 << 20
 #: Counted entries that a task holds before it sends them.
 HELD = 4_000_000
 SEED = 42
-ARRAYS: dict[str, np.ndarray] = {}
 
 
-def _write(folder: str, name: str, array: np.ndarray) -> None:
-    fs, path = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    fs.create_dir(path, recursive=True)
-    passing = f"{path}/.{name}-{os.getpid()}-{os.urandom(4).hex()}"
-    with fs.open_output_stream(passing) as f:
-        f.write(np.ascontiguousarray(array).data)
-    fs.move(passing, f"{path}/{name}")
-
-
-def _read(folder: str, name: str, kind: str) -> np.ndarray:
-    """A mapped array; from a store that cannot be mapped it is first copied next to the worker."""
-    key = f"{folder}/{name}"
-    if key not in ARRAYS:
-        fs, path = pa.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        path = f"{path}/{name}"
-        if not isinstance(fs, pa.fs.LocalFileSystem):
-            local = os.path.join(tempfile.mkdtemp(prefix="palimpsest-lm-"), name)
-            pa.fs.copy_files(path, local, source_filesystem=fs)
-            path = local
-        ARRAYS[key] = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
-    return ARRAYS[key]
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold the largest of them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
 def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +64,8 @@ class Tally:
         order = np.argsort(shard, kind="stable")
         keys, counts, shard = keys[order], counts[order], shard[order]
         heads = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
-        # Few counts need more than a byte.
-        blob = lambda a: a.astype(np.uint8 if not len(a) or a.max() < 256 else np.uint64)
         for a, b in zip(heads, [*heads[1:], len(keys)], strict=False):
-            c = blob(counts[a:b])
+            c = narrow(counts[a:b])  # few need more than a byte
             yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([c.itemsize], pa.int32())], ["shard", "keys", "counts", "wide"])
 
 
@@ -97,7 +74,7 @@ TALLY = "shard int, keys binary, counts binary, wide int"
 
 def _merged(group: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     keys = [np.frombuffer(b, np.uint64) for b in group.column("keys").to_pylist()]
-    counts = [np.frombuffer(b, np.uint8 if w == 1 else np.uint64).astype(np.int64) for b, w in zip(group.column("counts").to_pylist(), group.column("wide").to_pylist(), strict=True)]
+    counts = [np.frombuffer(b, f"u{w}").astype(np.int64) for b, w in zip(group.column("counts").to_pylist(), group.column("wide").to_pylist(), strict=True)]
     return group.column("shard")[0].as_py(), *add_up(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -106,7 +83,8 @@ def _by_shard(tallies: DataFrame, shards: int, work: Callable[[int, np.ndarray,
         for group in groups_of(batches, ["shard"]):
             yield from work(*_merged(group))
 
-    return tallies.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
+    # A shard is a partition: no two shards meet in a task by the chance of a hash.
+    return tallies.repartitionById(shards, F.col("shard").cast("int")).mapInArrow(run, schema)
 
 
 def _of_counts(counts: np.ndarray) -> list[int]:
@@ -140,6 +118,10 @@ class Model:
     end_contexts: int = 0
     counted: frozenset = frozenset()
 
+    def delete(self, spark: SparkSession) -> None:
+        """Removes the model's files, which otherwise go when the driver ends."""
+        delete_path(spark, self.folder)
+
     # Ids: words from 0, then the end of a text, its beginning, and whatever is unknown.
     @property
     def end(self) -> int:
@@ -171,12 +153,12 @@ class Model:
         for s, cut in self._each(self.hash_shard(h)):
             if self.first[s + 1] == self.first[s]:
                 continue
-            known = _read(self.folder, f"word-{s}", "<u8")
+            known = read_array(self.folder, f"word-{s}")
             at = np.searchsorted(known, h[cut])
             at[at == len(known)] = 0
             ok = known[at] == h[cut]
             ids[order[cut][ok]] = at[ok] + self.first[s]
-            counts[order[cut][ok]] = _read(self.folder, f"count-{s}", "<u4")[at[ok]]
+            counts[order[cut][ok]] = read_array(self.folder, f"count-{s}")[at[ok]]
         return ids, counts
 
     def lower(self, w: np.ndarray) -> np.ndarray:
@@ -188,7 +170,7 @@ class Model:
         x = w[order]
         word = x < self.end
         for s, cut in self._each(np.searchsorted(self.first, x[word], side="right") - 1):
-            n[order[word][cut]] = _read(self.folder, f"contexts-{s}", "<u4")[(x[word][cut] - np.uint64(self.first[s])).astype(np.int64)] if f"contexts-{s}" in self.counted else 0
+            n[order[word][cut]] = read_array(self.folder, f"contexts-{s}")[(x[word][cut] - np.uint64(self.first[s])).astype(np.int64)] if f"contexts-{s}" in self.counted else 0
         n[w == self.end] = self.end_contexts
         return np.maximum(n - _discount(n, d), 0) / total + spare / (self.n_words + 1)
 
@@ -203,11 +185,11 @@ class Model:
             if f"pair-{s}" not in self.counted:
                 continue
             at = np.flatnonzero(known)[cut]
-            keys, counts = _read(self.folder, f"pair-{s}", "<u8"), _read(self.folder, f"pairs-{s}", "<u4")
+            keys, counts = read_array(self.folder, f"pair-{s}"), read_array(self.folder, f"pairs-{s}")
             place = np.searchsorted(keys, distinct[at])
             place[place == len(keys)] = 0
             c = np.where(keys[place] == distinct[at], counts[place], 0).astype(float)
-            contexts, stats = _read(self.folder, f"context-{s}", "<u4"), _read(self.folder, f"stats-{s}", "<f8").reshape(-1, 2)
+            contexts, stats = read_array(self.folder, f"context-{s}"), read_array(self.folder, f"stats-{s}")
             place = np.searchsorted(contexts, v[at])
             place[place == len(contexts)] = 0
             seen = contexts[place] == v[at]
@@ -243,11 +225,17 @@ def _sequences(model: Model, word: np.ndarray, ids: np.ndarray, first: np.ndarra
 
 
 def fit(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
-    """A model of whole texts (null: empty), A-Z lower-cased, of words between blanks and an end after each text."""
-    text = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """A model of whole texts, A-Z lower-cased, of words between blanks and an end after each text.
+
+    A null or empty text is an end alone; repeated rows count as often as they are there; ids and other
+    columns are not looked at; of an empty table comes a model that knows no word. Counts are whole
+    numbers of up to 64 bits. More than 2^32 distinct words raise an error: nothing is left out.
+    """
+    text = docs.select(text_of(text_col).alias("text"))
     size = text.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    shards = 1 << min(MOST_SHARDS, max(16, size.bytes // shard_bytes)).bit_length() - 1
+    shards = 1 << max(16, size.bytes // shard_bytes).bit_length() - 1
     folder = fresh_path(docs.sparkSession, "lm")
+    delete_at_exit(docs.sparkSession, folder)
     model = Model(folder, shards)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +247,8 @@ def fit(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES)
         yield from tally.send()
 
     def keep_words(s: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _write(folder, f"word-{s}", keys)
-        _write(folder, f"count-{s}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
+        write_array(folder, f"word-{s}", keys)
+        write_array(folder, f"count-{s}", narrow(counts))
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["shard", "n", "total"])
 
     made = _by_shard(text.mapInArrow(words, TALLY), shards, keep_words, "shard int, n long, total long").collect()
@@ -284,15 +272,16 @@ def fit(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES)
 
     # A merged shard of pairs leaves its files, its numbers and, for every word, how many contexts it follows there.
     def keep_pairs(s: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _write(folder, f"pair-{s}", keys)
-        _write(folder, f"pairs-{s}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
+        write_array(folder, f"pair-{s}", keys)
+        write_array(folder, f"pairs-{s}", narrow(counts))
         v, w = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         heads = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         table = np.stack([np.add.reduceat(x, heads) for x in (counts, counts == 1, counts == 2, counts > 2)], axis=1).astype(np.int64)
-        _write(folder, f"context-{s}", v[heads].astype(np.uint32))
-        _write(folder, f"table-{s}", table)
+        write_array(folder, f"context-{s}", v[heads].astype(np.uint32))
+        write_array(folder, f"table-{s}", table)
         yield pa.RecordBatch.from_arrays([pa.array([-1 - s], pa.int32()), pa.array([np.array(_of_counts(counts) + [len(keys)], np.uint64).tobytes()], pa.binary()), pa.array([b""], pa.binary()), pa.array([8], pa.int32())], ["shard", "keys", "counts", "wide"])
-        tally = Tally(lambda keys: np.searchsorted(model.first, keys, side="right") - 1)
+        # The end of a text, whose id follows the last word's, goes with the last shard.
+        tally = Tally(lambda keys: np.minimum(np.searchsorted(model.first, keys, side="right") - 1, shards - 1))
         yield from tally.add(*np.unique(w, return_counts=True))
         yield from tally.send()
 
@@ -305,9 +294,9 @@ def fit(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES)
     def keep_contexts(s: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         own = keys < model.end
         if own.any():
-            dense = np.zeros(int(model.first[s + 1] - model.first[s]), np.uint32)
+            dense = np.zeros(int(model.first[s + 1] - model.first[s]), np.int64)
             dense[(keys[own] - np.uint64(model.first[s])).astype(np.int64)] = counts[own]
-            _write(folder, f"contexts-{s}", dense)
+            write_array(folder, f"contexts-{s}", narrow(dense))
         row = [s, *_of_counts(counts), int((counts > 2).sum()), int(counts[~own].sum()), int(own.any())]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["shard", "n1", "n2", "n3", "n4", "more", "ends", "any"])
 
@@ -322,9 +311,9 @@ def fit(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES)
     def keep_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in batch.column("id").to_pylist():
-                table = _read(folder, f"table-{s}", "<i8").reshape(-1, 4)
+                table = read_array(folder, f"table-{s}")
                 spare = table[:, 1:] @ np.array(model.pair_discounts)
-                _write(folder, f"stats-{s}", np.stack((table[:, 0].astype(float), spare), axis=1))
+                write_array(folder, f"stats-{s}", np.stack((table[:, 0].astype(float), spare), axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64())], ["id"])
 
     if pair_shards:
@@ -359,5 +348,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lm"
                 found = pa.StructArray.from_arrays([pa.array(np.diff(at)), *map(pa.array, sums)], fields=list(kind))
                 yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, out])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, `{out}` struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double>")
+    long, double = T.LongType(), T.DoubleType()
+    found = T.StructType([T.StructField("n_tokens", long), T.StructField("n_known", long), T.StructField("base_score", double), T.StructField("score", double)])
+    return with_column(rows, run, out, found)

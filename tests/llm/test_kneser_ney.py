@@ -4,7 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 
+from palimpsest.llm import common
 from palimpsest.llm import kneser_ney as kn
 
 SCHEMA = "doc_id long, text string, lm string"
@@ -78,11 +81,37 @@ def test_equal_to_the_plain_formulas(spark):
         assert abs(sum(plain.p(v, w) for w in plain.uni) + plain.p(v, "unknown") - 1) < 1e-9
 
 
-def test_many_tallies(spark, monkeypatch):
+def test_many_shards(spark):
     rows = corpus()[:60]
     check(spark, rows, rows, shard_bytes=100)
 
 
+def test_more_shards_than_are_mapped_at_once(spark):
+    rows = corpus()[:60]
+    size = sum(len((r[1] or "").encode()) for r in rows)
+    check(spark, rows, rows, shard_bytes=size // 64)
+    assert 64 * 7 > common.MOST_MAPPED  # arrays of 64 shards
+
+
+def test_a_shard_is_a_partition(spark):
+    model = kn.Model("", 8)
+    rows = spark.createDataFrame([(s, bytearray(np.array([s], np.uint64).tobytes()), bytearray(b"\x01"), 1) for s in range(8) for _ in range(3)], kn.TALLY)
+
+    def work(s, keys, counts):
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([int(counts.sum())])], ["s", "at", "n"])
+
+    got = kn._by_shard(rows, model.shards, work, "s int, at int, n long").collect()
+    assert sorted((r.s, r.at, r.n) for r in got) == [(s, s, 3) for s in range(8)]
+
+
+def test_counts_beyond_32_bits_are_kept(tmp_path):
+    counts = np.array([1, 2**40, 3], np.int64)
+    common.write_array(str(tmp_path), "counts", kn.narrow(counts))
+    common.write_array(str(tmp_path), "counts", kn.narrow(counts))  # a task that runs again
+    assert common.read_array(str(tmp_path), "counts").tolist() == counts.tolist()
+    assert kn.narrow(np.array([7])).itemsize == 1 and kn.narrow(np.array([], np.int64)).itemsize == 1
+
+
 def test_no_training_text_and_empty_table(spark):
     rows = corpus()
     model = kn.fit(spark.createDataFrame([], SCHEMA))
