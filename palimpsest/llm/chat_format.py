@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import quoted, running_sums, text_of
+
 #: Fixed values of the template.
 HEAD, COLON, PART, TURN = "### ", ": ", " </part>\n", " </turn>\n"
 CONTROL = ["###", "</part>", "</turn>"]
-SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 def escape(c: Column) -> Column:
@@ -50,35 +51,33 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     spans in `formatted` of the escaped texts of `loss_role`, markers left out, in order. A conversation
     becomes one row, so it must fit into a task; an empty table gives no rows, other columns are ignored.
     """
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    collected = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-
-    def merge(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escape(x["text"]))).alias("texts"))
-        added = F.struct(x["role"].alias("role"), F.array(escape(x["text"])).alias("texts"))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == x["role"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(added)))
-
-    merged = collected.select("conv_id", F.aggregate("turns", F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)"), merge).alias("merged"))
+    turn = F.struct(F.col(quoted(turn_col)).alias("turn"), text_of(role_col).alias("role"), text_of(text_col).alias("text"))
+    collected = rows.groupBy(F.col(quoted(conv_col)).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # Where a run of one role starts; the turns of a run become one, with an array of texts. No step copies what came before it.
+    told = collected.select("conv_id", F.transform("turns", lambda t: t["role"]).alias("roles"), F.transform("turns", lambda t: escape(t["text"])).alias("texts"))
+    first = F.filter(F.sequence(F.lit(0), F.size("roles") - 1), lambda i: (i == 0) | (F.get("roles", i) != F.get("roles", i - 1)))
+    cut = told.select("conv_id", "roles", "texts", first.alias("first"))
+    after = lambda k: F.coalesce(F.get("first", k + 1), F.size("roles"))
+    run = lambda i, k: F.struct(F.get("roles", i).alias("role"), F.slice("texts", i + 1, after(k) - i).alias("texts"))
+    merged = cut.select("conv_id", F.transform("first", run).alias("merged"))
     head = lambda m: F.concat(F.lit(HEAD), _escape_role(m["role"]), F.lit(COLON))
     formatted = F.array_join(F.transform("merged", lambda m: F.concat(head(m), F.array_join(m["texts"], PART), F.lit(TURN))), "")
-
-    def spans(done: Column, m: Column) -> Column:
-        start = done["at"] + F.char_length(head(m))
-        texts = F.aggregate(
-            m["texts"],
-            F.struct(start.cast("long").alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans")),
-            lambda a, t: F.struct((a["at"] + F.char_length(t) + len(PART)).alias("at"), F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), (a["at"] + F.char_length(t)).alias("end")))).alias("spans")),
-        )
-        end = texts["at"] - len(PART) + len(TURN)
-        return F.struct(end.alias("at"), F.when(m["role"] == loss_role, F.concat(done["spans"], texts["spans"])).otherwise(done["spans"]).alias("spans"))
-
-    loss = F.aggregate("merged", F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans")), spans, lambda done: done["spans"])
+    # Each text ends a marker before the running sum of all lengths up to it, of heads, texts and markers.
+    long = lambda c: c.cast("long")
+    lengths = lambda m: F.transform(m["texts"], lambda t, i: long(F.char_length(t) + F.when(i == 0, F.char_length(head(m))).otherwise(0) + F.when(i == F.size(m["texts"]) - 1, len(TURN)).otherwise(len(PART))))
+    ends = running_sums(F.flatten(F.transform("merged", lengths)))
+    flat = F.flatten(F.transform("merged", lambda m: F.transform(m["texts"], lambda t, i: F.struct((m["role"] == loss_role).alias("own"), long(F.char_length(t)).alias("n"), F.when(i == F.size(m["texts"]) - 1, len(TURN)).otherwise(len(PART)).alias("mark")))))
+    placed = F.zip_with(flat, ends, lambda t, end: F.struct(t["own"].alias("own"), long(end - t["mark"] - t["n"]).alias("start"), long(end - t["mark"]).alias("end")))
+    loss = F.transform(F.filter(placed, lambda t: t["own"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
     return merged.select("conv_id", formatted.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds `turns` ARRAY<STRUCT<role, text>>, the rows that were formatted, and `loss_text`, the unescaped text under the loss spans."""
+    """Adds `turns` ARRAY<STRUCT<role, text>>, the rows that were formatted, and `loss_text`, the unescaped text under the loss spans.
+
+    Takes what format_chats() returns: empty texts and roles, repeated rows and ties come back as they were
+    ordered, null ones as empty; columns of those two names are replaced; an empty table gives no rows.
+    """
     turns = F.slice(F.split("formatted", TURN, -1), 1, F.size(F.split("formatted", TURN, -1)) - 1)
     colon = lambda c: F.locate(":", c, len(HEAD) + 1)
     role = lambda c: _unescape_role(F.substring(c, F.lit(len(HEAD) + 1), colon(c) - len(HEAD) - 1))

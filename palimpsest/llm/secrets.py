@@ -16,10 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import drop_written, written
+from palimpsest.llm.common import free_names, named, quoted, running_sums, text_of, written
 
-#: Exact strings a part of a regex may stand for before they are turned into a query.
-EXACT_MOST = 64
+#: Exact strings a part of a regex may stand for before they are turned into a query, and trigrams asked of each.
+EXACT_MOST, TRIGRAMS_MOST = 64, 3
 #: Bits used of each BIGINT of the postings' bit sets.
 BITS = 62
 
@@ -59,8 +59,14 @@ def _combine(kind: str, parts: list[Query]) -> Query:
     return True if not flat else next(iter(flat)) if len(flat) == 1 else (kind, frozenset(flat))
 
 
+def _spread(trigrams: list[str]) -> list[str]:
+    """A few trigrams of a string, its first and last among them: the others would rule out little more, and each is looked for in every text."""
+    n = len(trigrams)
+    return trigrams if n <= TRIGRAMS_MOST else [trigrams[round(k * (n - 1) / (TRIGRAMS_MOST - 1))] for k in range(TRIGRAMS_MOST)]
+
+
 def _of_strings(strings: set[str]) -> Query:
-    return _combine("or", [_combine("and", [s[i : i + 3] for i in range(len(s) - 2)] if len(s) >= 3 else [True]) for s in strings])
+    return _combine("or", [_combine("and", _spread([s[i : i + 3] for i in range(len(s) - 2)]) if len(s) >= 3 else [True]) for s in strings])
 
 
 def _parts(node) -> tuple[set[str] | None, Query]:
@@ -161,39 +167,35 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = [(r.kind, queries[r.kind]) for r in rules if queries[r.kind] is not True]
     trigrams = sorted(set().union(*(trigrams_of(q) for _, q in indexed)))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    ident, of = F.col(id_col).cast("string"), F.xxhash64(text)
+    text = text_of(text_col)
+    ident, of = F.col(quoted(id_col)).cast("string"), F.xxhash64(text)
     own = [c for c in docs.columns if c != out]
-    rows = docs.select(*own)
+    n_id, n_of, n_kinds, n_found = free_names([*docs.columns, out], "id", "of", "kinds", "found")
+    rows = docs
     if indexed:
         index = postings(docs.select(ident.alias("id"), of.alias("of"), text.alias("text")), trigrams)
-        found = written(candidates(index, indexed, trigrams), "secret-candidates")
-        found = found.select(F.col("id").alias("_id"), F.col("of").alias("_of"), F.col("kinds").alias("_kinds"))
-        rows = rows.join(found, ident.eqNullSafe(F.col("_id")) & (of == F.col("_of")), "left")
-    else:
-        rows = rows.withColumn("_kinds", F.expr("cast(null as array<string>)"))
-    verified = rows.select(*own, *[c.alias(f"_{name}{k}") for k, r in enumerate(rules) for name, c in _matches(r, text, queries[r.kind] is True)])
-    return verified.select(*own, F.array_sort(F.concat(*[_spans(k, r) for k, r in enumerate(rules)])).alias(out))
-
-
-def _matches(rule: Rule, text: Column, everywhere: bool) -> list[tuple[str, Column]]:
-    """What lies between matches, the matches, and the group that is measured, for candidates."""
-    ask = F.lit(True) if everywhere else F.array_contains("_kinds", rule.kind)
-    regex = F.lit(rule.regex)
-    some = ask & F.rlike(text, regex)
-    return [("gap", F.when(some, F.split(text, rule.regex, -1))), ("all", F.when(some, F.regexp_extract_all(text, regex, 0))), ("size", F.when(some, F.regexp_extract_all(text, regex, rule.group)))]
+        found = written(candidates(index, indexed, trigrams), "secret-candidates").withColumnsRenamed({"id": n_id, "of": n_of, "kinds": n_kinds})
+        rows = rows.join(found, ident.eqNullSafe(F.col(n_id)) & (of == F.col(n_of)), "left")
+    asked = {r.kind: F.lit(True) if queries[r.kind] is True else F.array_contains(n_kinds, r.kind) for r in rules}
+    verified = rows.select(*named(own), F.struct(*[_matches(r, text, asked[r.kind]).alias(f"r{k}") for k, r in enumerate(rules)]).alias(n_found))
+    spans = [_spans(F.col(f"{n_found}.r{k}"), k, r) for k, r in enumerate(rules)]
+    return verified.select(*named(own), F.array_sort(F.concat(*spans)).alias(out))
 
 
-def _spans(k: int, rule: Rule) -> Column:
-    kind = "array<struct<start:bigint,rule:int,kind:string,end:bigint>>"
-    empty = F.expr(f"cast(array() as {kind})")
-    n = F.coalesce(F.size(f"_all{k}"), F.lit(0))
-
-    def add(done: Column, i: Column) -> Column:
-        start = done["at"] + F.char_length(F.get(f"_gap{k}", i))
-        end = start + F.char_length(F.get(f"_all{k}", i))
-        span = F.struct(start.alias("start"), F.lit(k).alias("rule"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.char_length(F.get(f"_size{k}", i)) >= rule.least, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
-
-    got = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), add, lambda done: done["spans"])
-    return F.when(n > 0, got).otherwise(empty)
+def _matches(rule: Rule, text: Column, asked: Column) -> Column:
+    """What lies between matches, the matches, and the group that is measured; null where there is no match."""
+    regex = F.lit(rule.regex)
+    found = [F.split(text, rule.regex, -1).alias("gap"), F.regexp_extract_all(text, regex, 0).alias("all")]
+    if rule.group:
+        found.append(F.regexp_extract_all(text, regex, rule.group).alias("size"))
+    return F.when(asked & F.rlike(text, regex), F.struct(*found))
+
+
+def _spans(found: Column, k: int, rule: Rule) -> Column:
+    empty = F.expr("cast(array() as array<struct<start:bigint,rule:int,kind:string,end:bigint>>)")
+    size = found["size"] if rule.group else found["all"]
+    length = lambda texts, i: F.char_length(F.get(texts, i)).cast("long")
+    # A match ends after all gaps and matches up to it.
+    ends = running_sums(F.transform(found["all"], lambda m, i: F.char_length(m).cast("long") + length(found["gap"], i)))
+    spans = F.transform(ends, lambda end, i: F.when(length(size, i) >= rule.least, F.struct((end - length(found["all"], i)).alias("start"), F.lit(k).alias("rule"), F.lit(rule.kind).alias("kind"), end.alias("end"))))
+    return F.when(found.isNull(), empty).otherwise(F.filter(spans, lambda s: s.isNotNull()))
