@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +131,155 @@ def closest_rows(prod: DataFrame, stage: DataFrame) -> DataFrame:
     """Rows left over by their keys, paired by the share of common words from 0.6 on, best first. Sides: tbl, row, token."""
     sim = bag_similarity(prod.withColumnRenamed("row", "prod_row"), stage.withColumnRenamed("row", "stage_row"), ["tbl", "prod_row"], ["tbl", "stage_row"], "token")
     return greedy_pairs(sim.where(F.col("similarity") >= ROW_OVERLAP).select("tbl", "prod_row", "stage_row", "similarity"), ["tbl"], "prod_row", "stage_row", "similarity")
+
+
+# Matching of tables and rows.
+MATCH, SAME_COLUMNS, FALLBACK, PAGE_COST = 0.5, 0.05, 0.25, 1000.0
+COMPARABLE, SURVIVES, TABLE_SURVIVES, LONG_HEADER, MOST_CELLS, LONG_TOKEN = 0.4, 0.75, 0.6, 24, 30, 6
+REWORDED = 0.5
+
+
+def matched_tables(scored: DataFrame, tables: DataFrame) -> DataFrame:
+    """One-to-one tables of a section: by their words from 0.5 on, best first, equal numbers of columns counting 0.05 more; what is left by
+    place, tables of as many columns first, a page counting a thousand points, if a quarter of the words agree.
+
+    Scored: pair_id, section, prod, stage, similarity. Tables: pair_id, section, side, tbl, n_cols, page, y. A section's tables must fit into a task.
+    """
+    p = tables.where("side = 'prod'").select("pair_id", "section", F.col("tbl").alias("prod"), F.col("n_cols").alias("pc"), F.col("page").alias("pp"), F.col("y").alias("py"))
+    s = tables.where("side = 'stage'").select("pair_id", "section", F.col("tbl").alias("stage"), F.col("n_cols").alias("sc"), F.col("page").alias("sp"), F.col("y").alias("sy"))
+    rows = scored.where(F.col("similarity") >= FALLBACK).join(p, ["pair_id", "section", "prod"]).join(s, ["pair_id", "section", "stage"])
+    far = F.abs(F.col("pp") - F.col("sp")) * PAGE_COST + F.abs(F.col("py") - F.col("sy"))
+    same = F.col("pc") == F.col("sc")
+    told = rows.select("pair_id", "section", "prod", "stage", "similarity", F.when(F.col("similarity") >= MATCH, 1).otherwise(2).alias("step"), F.when(F.col("similarity") >= MATCH, -(F.col("similarity") + F.when(same, SAME_COLUMNS).otherwise(0.0))).otherwise(far + F.when(same, 0.0).otherwise(1e9)).alias("cost"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, keep = set(), set(), []
+        # The second step looks at all that the first left over, whatever their words came to.
+        order = pdf.sort_values(["step", "cost", "prod", "stage"])
+        for i, x, y in zip(order.index, order["prod"], order["stage"], strict=True):
+            if x not in a and y not in b:
+                a.add(x)
+                b.add(y)
+                keep.append(i)
+        return pdf.loc[keep, ["pair_id", "section", "prod", "stage", "similarity", "step"]]
+
+    kinds = dict(told.dtypes)
+    return told.groupBy("pair_id", "section").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("pair_id", "section", "prod", "stage", "similarity", "step")))
+
+
+def tables_gone(tokens: DataFrame, words: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """Unmatched tables of the baseline of whose words the candidate's section prints less than 60 %.
+
+    Tokens: pair_id, section, tbl, token (as often as it stands there). Words: pair_id, section, token of all the section's text.
+    """
+    own = tokens.join(unmatched, ["pair_id", "section", "tbl"], "left_semi").groupBy("pair_id", "section", "tbl", "token").agg(F.count("*").alias("n"))
+    there = words.groupBy("pair_id", "section", "token").agg(F.count("*").alias("m"))
+    kept = own.join(there, ["pair_id", "section", "token"], "left").groupBy("pair_id", "section", "tbl").agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("kept"))
+    return kept.where(F.col("kept") < TABLE_SURVIVES)
+
+
+def rows_missing(rows: DataFrame, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Rows of the baseline without a partner, of whose fine tokens the candidate's table holds less than 75 %.
+
+    Rows: pair_id, tbl, row, text. Pairs: pair_id, tbl, row of those that have a partner. Tokens: pair_id, tbl, token of the candidate's table. A
+    first row of over 24 characters is no head that could be missing; a blank row is none.
+    """
+    lone = rows.where(F.trim("text") != "").join(pairs, ["pair_id", "tbl", "row"], "left_anti")
+    own = lone.select("pair_id", "tbl", "row", "text", F.explode_outer(X.fine_tokens(F.col("text"))).alias("token")).groupBy("pair_id", "tbl", "row", "text", "token").agg(F.count("token").alias("n"))
+    there = tokens.groupBy("pair_id", "tbl", "token").agg(F.count("*").alias("m"))
+    kept = own.join(there, ["pair_id", "tbl", "token"], "left").groupBy("pair_id", "tbl", "row", "text").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("kept"), F.sum("n").alias("n"))
+    gone = kept.where((F.col("kept") < SURVIVES * F.col("n")) & ~((F.col("row") == 0) & (F.length("text") > LONG_HEADER)))
+    return gone.select("pair_id", "tbl", "row", F.when(F.col("row") == 0, "Table heading missing").otherwise("Table row missing").alias("message"), "text")
+
+
+def cells_missing(pairs: DataFrame) -> DataFrame:
+    """Cells of matched rows that lost words: two, or one of six letters, unless 75 % of the cell is elsewhere in the row; thirty a table.
+
+    Pairs: pair_id, tbl, row, cells, stage_cells (arrays), rows that share 40 % of their words.
+    """
+    words = lambda c: F.filter(X.cell_tokens(c), lambda w: ~w.isin(X.STOP_WORDS))
+    n = lambda a, w: F.size(F.filter(a, lambda x: x == w))
+    shared = lambda a, b: F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(n(a, w), n(b, w)))
+    told = pairs.withColumn("_a", X.cell_tokens(F.array_join("cells", " "))).withColumn("_b", X.cell_tokens(F.array_join("stage_cells", " "))).withColumn("_fine", X.fine_tokens(F.array_join("stage_cells", " ")))
+    alike = told.where(2.0 * shared(F.col("_a"), F.col("_b")) >= COMPARABLE * (F.size("_a") + F.size("_b")))
+    each = alike.select("pair_id", "tbl", "row", "stage_cells", "_fine", F.posexplode("cells").alias("col", "cell")).withColumn("_own", words(F.col("cell"))).withColumn("_other", words(F.coalesce(F.get("stage_cells", F.col("col")), F.lit(""))))
+    lost = F.array_sort(F.flatten(F.transform(F.array_distinct("_own"), lambda w: F.array_repeat(w, F.greatest(n(F.col("_own"), w) - n(F.col("_other"), w), F.lit(0))))))
+    bad = each.withColumn("missing", lost).where((F.size("missing") >= 2) | F.exists("missing", lambda w: F.length(w) >= LONG_TOKEN))
+    fine = F.filter(X.fine_tokens(F.col("cell")), lambda w: ~w.isin(X.STOP_WORDS))
+    moved = (F.size(fine) > 0) & (shared(fine, F.col("_fine")) >= SURVIVES * F.size(fine))
+    told = bad.where(~moved).withColumn("message", F.when(F.col("row") == 0, "Table heading missing").otherwise("Table cell missing"))
+    w = Window.partitionBy("pair_id", "tbl").orderBy("row", "col")
+    return told.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MOST_CELLS).select("pair_id", "tbl", "row", "col", "missing", "message")
+
+
+def ruled_tables(cells: DataFrame) -> DataFrame:
+    """(TABLE, row, key, text, box): the rows of tables of two rows or more that are drawn with rules, each with its box and key."""
+    rows = cells.groupBy(*TABLE, "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " ").alias("text"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))], F.bool_or(F.coalesce("border_top", F.lit(False)) | F.coalesce("border_bottom", F.lit(False))).alias("ruled"))
+    w = Window.partitionBy(*TABLE)
+    kept = rows.withColumn("_n", F.count("*").over(w)).withColumn("_ruled", F.bool_or("ruled").over(w)).where("_n >= 2 and _ruled")
+    return kept.withColumn("key", X.ruled_cell(F.col("text"))).drop("_n", "_ruled", "ruled")
+
+
+def pooled_rows(rows: DataFrame, printed: DataFrame) -> DataFrame:
+    """Rows of ruled tables that a topic of one side has and the other lacks, as often as it lacks them, wherever its tables hold them.
+
+    Rows: pair_id, side, topic, row, key. What the other side's topic prints in so many words is not missing (printed: pair_id, side, topic,
+    blob).
+    """
+    both = rows.where("key <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("pair_id", "side", "topic", "key").orderBy("row")))
+    other = F.when(F.col("side") == "prod", "stage").otherwise("prod")
+    there = both.select("pair_id", other.alias("side"), "topic", "key", "_n").withColumn("_there", F.lit(True))
+    lone = both.join(there, ["pair_id", "side", "topic", "key", "_n"], "left").where(F.col("_there").isNull()).drop("_there")
+    blobs = printed.select("pair_id", other.alias("side"), "topic", F.col("blob").alias("_blob"))
+    held = F.contains(F.concat(F.lit(" "), "_blob", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" ")))
+    left = lone.join(blobs, ["pair_id", "side", "topic"], "left").where(~F.coalesce(held, F.lit(False)))
+    return left.select("pair_id", "topic", "row", "key", F.when(F.col("side") == "prod", "table-row-missing").otherwise("table-row-added").alias("type"))
+
+
+def reworded_rows(lone: DataFrame) -> DataFrame:
+    """Lone rows of either side paired by likeness from one half on, with the words lost and added; a difference of blanks alone is named as such.
+
+    Lone: pair_id, topic, row, key, type (see pooled_rows). A topic's lone rows must fit into a task.
+    """
+    from difflib import SequenceMatcher
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf.type == t].sort_values("row") for t in ("table-row-missing", "table-row-added"))
+        free, out = list(zip(b.row, b.key, strict=True)), []
+        for row, key in zip(a.row, a.key, strict=True):
+            scored = [(SequenceMatcher(None, key, k).ratio(), -i) for i, (_, k) in enumerate(free)]
+            if not scored or max(scored)[0] < REWORDED:
+                continue
+            other, text = free.pop(-max(scored)[1])
+            x, y = key.split(), text.split()
+            lost, added = list(x), []
+            for w in y:
+                lost.remove(w) if w in lost else added.append(w)
+            spaced = bool(lost) and "".join(lost) == "".join(added)
+            out.append((pdf.pair_id.iloc[0], pdf.topic.iloc[0], row, other, lost, added, ("space extra in Staging" if len(added) > len(lost) else "space missing in Staging") if spaced else None))
+        return pd.DataFrame(out, columns=["pair_id", "topic", "row", "stage_row", "gone", "extra", "space"])
+
+    kinds = dict(lone.dtypes)
+    return lone.groupBy("pair_id", "topic").applyInPandas(run, f"pair_id {kinds['pair_id']}, topic {kinds['topic']}, row {kinds['row']}, stage_row {kinds['row']}, gone array<string>, extra array<string>, space string")
+
+
+def tight_regions(cells: DataFrame) -> DataFrame:
+    """(TABLE, x0, y0, x1, y1): the box of each detected region's cells that hold text; regions of one column or none are left out."""
+    text = cells.where((F.trim("text") != "") & F.col("x0").isNotNull())
+    box = text.groupBy(*TABLE).agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))], F.countDistinct("col").alias("_cols"))
+    return box.where("_cols >= 2 and x0 >= 0 and y0 >= 0").drop("_cols")
+
+
+def without_repeated_heads(rows: DataFrame) -> DataFrame:
+    """The rows of stitched tables, without those of the first two of a later fragment that repeat the table's first rows. Rows: pair_id, side, table, fragment, row, key."""
+    whole = Window.partitionBy("pair_id", "side", "table").orderBy("fragment", "row")
+    own = Window.partitionBy("pair_id", "side", "table", "fragment").orderBy("row")
+    told = rows.withColumn("_n", F.row_number().over(own)).withColumn("_f", F.min("fragment").over(Window.partitionBy("pair_id", "side", "table")))
+    heads = F.collect_list(F.when((F.col("fragment") == F.col("_f")) & (F.col("_n") <= 2), F.col("key"))).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marked = told.withColumn("_heads", heads)
+    # The second row repeats the head only where the first one did.
+    first = (F.col("_n") == 1) & (F.col("key") == F.get("_heads", 0))
+    second = (F.col("_n") == 2) & (F.col("key") == F.get("_heads", 1)) & F.coalesce(F.lag(first).over(own), F.lit(False))
+    repeat = (F.col("fragment") != F.col("_f")) & (first | second)
+    kept = marked.withColumn("_repeat", F.coalesce(repeat, F.lit(False))).where(~F.col("_repeat"))
+    return kept.withColumn("row", F.row_number().over(whole) - 1).drop("_n", "_f", "_heads", "_repeat")

@@ -133,10 +133,10 @@ def text_callouts_and_references(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", X.callout_label(F.col("s")).alias("label"), X.strip_callout_label(F.col("s")).alias("bare"), X.strip_page_references(F.col("s")).alias("without_pages"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_STOPS, _COMMON = (", ".join(f"'{w}'" for w in words) for words in (X.STOP_WORDS, X.COMMON_WORDS))
 
 
-@query(f"""SELECT doc_id, len(list_filter(w, lambda x: length(x) >= 3 AND x NOT IN ({_STOPS}) AND NOT regexp_matches(x, '^[0-9]+$'))) AS content, len(list_filter(list_distinct(w), lambda x: length(x) >= 3 AND x NOT IN ({_STOPS}))) AS significant
+@query(f"""SELECT doc_id, len(list_filter(w, lambda x: length(x) >= 3 AND x NOT IN ({_COMMON}) AND NOT regexp_matches(x, '^[0-9]+$'))) AS content, len(list_filter(list_distinct(w), lambda x: length(x) >= 3 AND x NOT IN ({_STOPS}))) AS significant
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents)""")
 def text_words(spark, sf_dir):
     """Content words and distinct significant words."""
@@ -173,7 +173,7 @@ def link_colours(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", X.looks_like_link_colour(c).alias("linkish"), X.hex_colour(c).alias("hex"), X.saturation(c).alias("saturation"))
 
 
-@query("""SELECT n_nationkey, m, CASE WHEN regexp_matches(k, '^[0-9]{1,2}$') THEN 'number' WHEN k IN ('ii','iii','iv','vi','vii','viii','ix') THEN 'roman' WHEN regexp_matches(k, '^[a-z]$') THEN 'letter' WHEN k = '•' THEN 'bullet' END AS kind
+@query("""SELECT n_nationkey, m, CASE WHEN regexp_matches(k, '^[0-9]{1,3}$') THEN 'number' WHEN k IN ('ii','iii','iv','vi','vii','viii','ix','xi','xii','xiii','xiv','xv','xvi','xvii','xviii','xix','xx') THEN 'roman' WHEN regexp_matches(k, '^[a-z]$') THEN 'letter' ELSE 'bullet' END AS kind
 FROM (SELECT n_nationkey, m, regexp_replace(lower(trim(m)), '^\\(|\\s*[.)]$', '', 'g') AS k FROM (
 SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN n_nationkey || '.' WHEN 1 THEN '(a)' WHEN 2 THEN 'iv)' WHEN 3 THEN '•' WHEN 4 THEN 'B .' ELSE n_name END AS m FROM nation))""")
 def marker_kinds(spark, sf_dir):

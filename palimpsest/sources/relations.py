@@ -25,6 +25,41 @@ def read_relation(spark: SparkSession, path: str, name: str) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def page_texts(spans: DataFrame) -> DataFrame:
+    """(pair_id, side, page, text): each page's text, its lines in order."""
+    line = spans.groupBy("pair_id", "side", "page", "block", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span", "text"))), lambda s: s["text"]), "").alias("text"))
+    return line.groupBy("pair_id", "side", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "text"))), lambda s: s["text"]), "\n").alias("text"))
+
+
+#: Which language data a script is read with, besides English: fixed values.
+SCRIPTS = [(r"[\u3040-\u30ff]", "jpn"), (r"[\uac00-\ud7af]", "kor"), (r"[\u4e00-\u9fff]", "chi_sim+chi_tra"), (r"\p{IsCyrillic}", "rus"), (r"\p{IsArabic}", "ara"), (r"\p{IsGreek}", "ell"), (r"\p{IsDevanagari}", "hin"), (r"\p{IsThai}", "tha")]
+OCR_PAGES, OCR_DPI = 220, 200
+
+
+def reading_plan(pages: DataFrame, most: int = OCR_PAGES) -> DataFrame:
+    """Pages whose pictures are to be read, with the languages to read them in and the resolution: scanned ones first, `most` a pair.
+
+    Pages: pair_id, side, page, scanned, sample (a text of the document). What reads them is not part of this package.
+    """
+    from pyspark.sql import Window
+
+    language = F.concat(F.coalesce(*[F.when(F.rlike("sample", F.lit(r)), F.lit(f"{lang}+")) for r, lang in SCRIPTS], F.lit("")), F.lit("eng"))
+    order = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("scanned"), "side", "page"))
+    return pages.withColumn("_r", order).where(F.col("_r") <= most).select("pair_id", "side", "page", language.alias("languages"), F.lit(OCR_DPI).alias("dpi"))
+
+
+def crop_boxes(boxes: DataFrame, pages: DataFrame, margin: float = 24.0) -> DataFrame:
+    """The boxes of evidence to be shown, 24 points wider on each side, within the page. Boxes: pair_id, side, page, box."""
+    b = boxes.join(pages.select("pair_id", "side", "page", "width", "height"), ["pair_id", "side", "page"])
+    return b.select(*boxes.columns[:3], F.greatest(F.col("x0") - margin, F.lit(0.0)).alias("x0"), F.greatest(F.col("y0") - margin, F.lit(0.0)).alias("y0"), F.least(F.col("x1") + margin, F.col("width")).alias("x1"), F.least(F.col("y1") + margin, F.col("height")).alias("y1"))
+
+
 def lines(docs: DataFrame, per_page: int = 20) -> DataFrame:
     """(pair_id, ord, page, y, text): the non-blank lines of each text, twenty to a page."""
     each = docs.select(F.col("doc_id").alias("pair_id"), F.posexplode(F.split("text", "\n", -1)).alias("ord", "text"))

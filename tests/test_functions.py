@@ -15,14 +15,14 @@ def apply(spark, f, values):
 CASES = [
     (X.fold_digits, {"٣ pages ४": "3 pages 4", "１２": "12", "x": "x"}),
     (X.fold_width, {"ＡＢｃ（１）": "ABc(1)", "終わり。": "終わり。"}),
-    (X.fold_cjk_spaces, {"日 本 語": "日本語", "SIG, Inc.": "SIG, Inc.", "電源、 接続": "電源、接続"}),
+    (X.fold_cjk_spaces, {"日 本 語": "日本語", "SIG, Inc.": "SIG, Inc.", "電源、 接続": "電源、接続", "ｶﾀ ｶﾅ": "ｶﾀｶﾅ", "部件 (劳务": "部件(劳务", "和/ 或": "和/或", "方式 , 包括": "方式, 包括", "1. 项目": "1. 项目", "日本 and 語": "日本 and 語", "語 Wi-Fi 語": "語 Wi-Fi 語", "  ": "  ", "": "", None: None}),
     (X.starts_lower_or_caseless, {"abc": True, "Abc": False, "日本": True, "1a": False}),
     (X.ends_with_terminator, {"Done.": True, "Done.)": True, "Done": False, "終わり。": True, "List:": True, "": False, "«Ja!» ": True}),
     (X.split_sentences, {"One here. Two there! 3. Step": ["One here.", "Two there!", "3. Step"], "e.g. this one": ["e.g. this one"], "一。二！": ["一。", "二！"], "Stop.日本": ["Stop.", "日本"], "1. Press it. Then go": ["1. Press it.", "Then go"]}),
     (X.callout_label, {"Note: mind": "NOTE", "hinweis : x": "HINWEIS", "注意：x": "注意", "Notebook: x": None}),
-    (X.strip_page_references, {"See it on page 12 now": "See it now", "siehe Seite 4.": ".", "第 3 ページ": "", "as on page, here": "as, here"}),
+    (X.strip_page_references, {"See it on page 12 now": "See it now", "siehe Seite 4.": ".", "第 3 ページ": "", "12 頁 and on": " and on", "as on page, here": "as, here", "REFER TO PÁG. 7)": ")", "on page": "", "a page of text": "a page of text", "homepage 12": "homepage 12", "page 12345": "page 12345"}),
     (X.normalize_block_text, {"- item\nwrapped hyphen-\nated": "• item wrapped hyphenated", "ﬁne “x”": 'fine "x"', "end.Next": "end.Next"[:4] + " Next"}),
-    (X.compare_key, {"* Foot note.": "Foot note", "well-known. ": "wellknown"}),
+    (X.compare_key, {"* Foot note.": "Foot note", "(*) Foot": "Foot", "†: Foot": "Foot", "*": "*", "well-known. ": "wellknown", "power- saving mode": "powersaving mode", "0 m - 2000 m": "0 m - 2000 m", "-5 to -3": "-5 to -3", "a-b-c..": "abc", "": ""}),
     (X.align_key, {"a  b\t c": "abc"}),
     (X.ascii_blob, {"Ａ-1 é": "a1"}),
     (X.unicode_blob, {"Ｓtraße é": "strassee"}),
@@ -31,17 +31,23 @@ CASES = [
     (X.font_core, {"ABCDEF+Arial-BoldMT": "arial"}),
     (X.size_pt, {"12.5 pt": 12.5, "none": None}),
     (X.uri_authority, {"HTTPS://A.com/": "a.com", "mailto:X@y.z": "x@y.z", "a.com.": "a.com"}),
-    (X.marker_kind, {"1.": "number", "(a)": "letter", "iv)": "roman", "•": "bullet", "i": "letter", "word": None}),
+    (X.marker_kind, {"1.": "number", "(a)": "letter", "iv)": "roman", "•": "bullet", "i": "letter", "word": "bullet", "150.": "number", "x)": "letter", "xx.": "roman", None: None}),
     (X.is_bare_number_list, {"1 2. 3)": True, "1": False, "1 a": False}),
     (X.is_bare_part_labels, {"A1 B2": True, "Alpha": False}),
     (X.is_caption_like, {"Front view": True, "It is done.": False}),
-    (X.is_non_prose, {"12 mm 5": True, "Menu > Sound": True, "Turn the unit off now.": False}),
+    (X.is_non_prose, {"12 mm 5": True, "Menu > Sound": True, "Turn the unit off now.": False, "SW272 SW242 or or": True, "10-90% 0-3000m 0-40°C": True, "3. HDMI in ports 3": False, "Rt": False, "L2 R2 Lt Rt": True, "Hold it for 10 seconds. •": False, "": False}),
+    (X.is_prose_line, {"Rt": False, "Release button": False, "Press the button.": True, "one two three four five six seven eight": True}),
+    (X.is_value, {"12mm": True, "-3.5dB": True, "12parsec": False, "10-90%": True, "x": False}),
+    (X.alnum_blob, {"Wi-Fi 日本 4K": "wi fi 日 本 4k"}),
+    (X.content_words, {"The menu Projector 123 lamp": ["projector", "lamp"]}),
+    (X.nfkc_casefold, {"ＷＩＦＩ Straße": "wifi strasse"}),
+    (X.artifact_set, {"a\ufffd (cid:3) (cid: 4) \ue000": ["\ufffd", "(cid:N)", "\ue000"]}),
     (X.is_toc_listing, {"Setup ..... 4": True, "Setup": False}),
     (X.is_excluded_heading, {"Table of Contents": True, "FAQ": True, "Setup": False}),
     (X.is_page_number, {"- 12 -": True, "xiv": True, "twelve": False}),
     (X.encoding_artifacts, {"a�b (cid:3)": ["�", "(cid:3)"], "ok": []}),
     (X.token_set, {"the big 日本 cat": ["the", "big", "日", "本", "cat"]}),
-    (X.diff_tokens, {"a, 日本b": ["a", ",", " ", "日", "本", "b"]}),
+    (X.diff_tokens, {"a, 日本b": ["a", ",", " ", "日", "本", "b"], "": [], "x_1  (y)\n": ["x_1", "  ", "(", "y", ")", "\n"], "don't": ["don", "'", "t"]}),
     (lambda c: X.clip(c, 5), {"abcdefgh": "abcd…", "abc": "abc"}),
 ]
 
