@@ -88,12 +88,15 @@ def reported(differences: DataFrame) -> DataFrame:
 
 def printed_in(kind: Column, text: Column, blob: Column) -> Column:
     """Whether an element is printed among other words (one blank between each): as one phrase; a text of up to three words, unless it is a heading, also in pieces."""
-    own = X.alnum_blob(text)
-    padded = F.concat(F.lit(" "), X.alnum_blob(blob), F.lit(" "))
-    words = F.split(own, " ")
-    phrase = F.contains(padded, F.concat(F.lit(" "), own, F.lit(" ")))
-    scattered = (kind != "heading") & (F.size(words) <= 3) & F.forall(words, lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" "))))
-    return F.coalesce((own != "") & (phrase | scattered), F.lit(False))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+
+    def found(p: Column) -> Column:
+        words = F.split(p["own"], " ")
+        phrase = F.contains(p["blob"], padded(p["own"]))
+        scattered = (kind != "heading") & (F.size(words) <= 3) & F.forall(words, lambda w: F.contains(p["blob"], padded(w)))
+        return F.coalesce((p["own"] != "") & (phrase | scattered), F.lit(False))
+
+    return X.bound(F.struct(X.alnum_blob(text).alias("own"), padded(X.alnum_blob(blob)).alias("blob")), found)
 
 
 def counted_elsewhere(phrase: Column, own: Column, other: Column) -> Column:

@@ -64,7 +64,16 @@ def aligned(rows: DataFrame, keys: list[str], cutoff: float = 0.6) -> DataFrame:
             if op == "equal":
                 out += [("same", xo[i + d], yo[k + d]) for d in range(j - i)]
                 continue
-            scored = sorted(((-SequenceMatcher(None, x[p], y[q], autojunk=False).ratio(), p, q) for p in range(i, j) for q in range(k, m)) if op == "replace" else [])
+            scored = []
+            for q in range(k, m) if op == "replace" else ():
+                other = SequenceMatcher(autojunk=False)
+                other.set_seq2(y[q])
+                for p in range(i, j):
+                    other.set_seq1(x[p])
+                    # Two upper bounds rule out most pairs before any run is looked for.
+                    if other.real_quick_ratio() >= cutoff and other.quick_ratio() >= cutoff:
+                        scored.append((-other.ratio(), p, q))
+            scored.sort()
             left, right = set(range(i, j)), set(range(k, m))
             for r, p, q in scored:
                 if -r < cutoff:
@@ -155,3 +164,15 @@ def longest_rising(df: DataFrame, keys: list[str], order: str, value: str) -> Da
         return pdf.iloc[keep[::-1]]
 
     return df.groupBy(*keys).applyInPandas(run, df.schema)
+
+
+def touching_pairs(boxes: DataFrame, keys: list[str], order: str, cell: float = 50.0) -> DataFrame:
+    """Pairs (a, b) of boxes of `keys` that share some area, each once, `order` rising: boxes meet in the cells of a grid that they lie in, and only
+    in the one that holds the corner of what they share. Boxes: keys, `order`, b STRUCT<x0, y0, x1, y1>."""
+    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    row = F.struct(order, "b")
+    dealt = boxes.select(*keys, row.alias("r"), F.explode(cells("b.x0", "b.x1")).alias("cx")).select(*keys, "r", "cx", F.explode(F.sequence(F.floor(F.col("r.b.y0") / cell), F.floor(F.col("r.b.y1") / cell))).alias("cy"))
+    a, b = dealt.withColumnRenamed("r", "a"), dealt.withColumnRenamed("r", "c")
+    corner = lambda axis: F.floor(F.greatest(f"a.b.{axis}", f"c.b.{axis}") / cell)
+    met = a.join(b, [*keys, "cx", "cy"]).where((F.col(f"a.{order}") < F.col(f"c.{order}")) & (F.col("cx") == corner("x0")) & (F.col("cy") == corner("y0")))
+    return met.select(*keys, F.col("a").alias("a"), F.col("c").alias("b"))

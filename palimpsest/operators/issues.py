@@ -161,6 +161,10 @@ def whole_text(text: Column) -> Column:
     return F.when(F.size(w) > WHOLE_WORDS, F.concat(F.array_join(F.slice(w, 1, WHOLE_WORDS), " "), F.lit(" …"))).otherwise(F.array_join(w, " "))
 
 
+def _of_types(*types: str):
+    return lambda o: o["type"].isin(*types)
+
+
 def word_marks(diffs: DataFrame, words: DataFrame) -> DataFrame:
     """The boxes of the words that differ: (pair_id, id, side, n, word, box). Diffs: pair_id, id, ops. Words: pair_id, id, side, n (from 0), word, box.
 
@@ -168,7 +172,7 @@ def word_marks(diffs: DataFrame, words: DataFrame) -> DataFrame:
     """
     parts = []
     for side, mine in (("prod", "del"), ("stage", "ins")):
-        own = diffs.select("pair_id", "id", F.posexplode(F.filter("ops", lambda o, m=mine: o["type"].isin("equal", m))).alias("k", "o"))
+        own = diffs.select("pair_id", "id", F.posexplode(F.filter("ops", _of_types("equal", mine))).alias("k", "o"))
         # Pieces are cut at letters where a word changed in part: the word that a piece ends in goes on in the next one.
         glued = own.withColumn("_text", F.col("o.text")).withColumn("_type", F.col("o.type"))
         w = Window.partitionBy("pair_id", "id").orderBy("k")

@@ -43,12 +43,13 @@ def section_bounds(headings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def in_section(items: DataFrame, sections: DataFrame, keys: list[str], slack: float = 0.0) -> DataFrame:
-    """Items with the sections whose half-open span holds them: a range join within `keys`."""
-    s = sections.select(*keys, F.struct("page", "y").alias("_start"), F.struct("end_page", "end_y").alias("_end"), F.col("ord").alias("section"))
-    here = F.struct(F.col("page"), (F.col("y") + slack).alias("y"))
+    """Items with the section whose half-open span holds them: one sort within `keys`, no pairs. Sections do not overlap."""
+    # Sections follow each other, so the last one that starts before an item is the only one that can hold it.
+    s = sections.select(*keys, "page", (F.col("y") - slack).alias("y"), F.struct(F.col("ord").alias("section"), F.struct("end_page", "end_y").alias("end")).alias("_held"))
+    found = last_before(items, s, keys, ["page", "y"], "_held").where("_held is not null")
     there = F.struct(F.col("page").alias("end_page"), (F.col("y") + slack).alias("end_y"))
-    found = items.join(s, keys).where((here >= F.col("_start")) & (F.col("_end.end_page").isNull() | (there < F.col("_end"))))
-    return found.drop("_start", "_end")
+    inside = found.where(F.col("_held.end.end_page").isNull() | (there < F.col("_held.end")))
+    return inside.select(*items.columns, F.col("_held.section").alias("section"))
 
 
 def last_before(points: DataFrame, marks: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -59,3 +60,21 @@ def last_before(points: DataFrame, marks: DataFrame, keys: list[str], order: lis
     both = marked.unionByName(asked, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(*order, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("_value", F.last("_value", ignorenulls=True).over(w)).where("_kind = 1").select(*keys, *order, *[F.col(f"_row.{c}").alias(c) for c in others], F.col("_value").alias(value))
+
+
+def running_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines with `why` they are page furniture, null if they are not: a page number, running (in the head's or foot's eighth of three
+    pages or more, digits apart), or alone in the last six hundredths of its page.
+
+    Only short ones: three lines or 22 points at most, sixteen words, not ending like a sentence. Lines: keys, page, y0, y1, text, n_lines,
+    height (of the page).
+    """
+    t = F.col("text")
+    band = F.when(F.col("y1") <= 0.12 * F.col("height"), "top").when(F.col("y0") >= 0.88 * F.col("height"), "foot")
+    short = ((F.col("n_lines") <= 3) | (F.col("y1") - F.col("y0") <= 22)) & (F.size(F.filter(F.split(t, r"\s+"), lambda w: F.length(w) > 0)) <= 16) & ~F.rlike(t, F.lit(r"[.!?:;]\s*$"))
+    key = F.trim(F.regexp_replace(F.lower(F.regexp_replace(t, "[0-9]+", "#")), r"\s+", " "))
+    own = lines.withColumn("_band", F.when(short, band)).withColumn("_key", key)
+    often = own.where("_band is not null").groupBy(*keys, "_band", "_key").agg(F.countDistinct("page").alias("_pages"))
+    number = F.rlike(F.trim(t), F.lit(r"^(?:[-–]\s*)?(?:[0-9]{1,4}|[ivxlc]{1,6})(?:\s*[-–])?$"))
+    why = F.when(F.col("_band").isNull(), None).when(number, "page number").when(F.col("_pages") >= 3, "running").when(F.col("y0") >= 0.94 * F.col("height"), "foot")
+    return own.join(often, [*keys, "_band", "_key"], "left").withColumn("why", why).select(*lines.columns, "why")

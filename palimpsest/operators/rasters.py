@@ -149,8 +149,10 @@ def split_tall(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
 
 
 def _edges(img: np.ndarray) -> np.ndarray:
+    """Edges, a little wider than they are: places are known to a pixel or two."""
     gy, gx = np.gradient(img)
-    return np.hypot(gx, gy)
+    e = np.pad(np.hypot(gx, gy), 2, mode="edge")
+    return sum(e[2 + dy : e.shape[0] - 2 + dy, 2 + dx : e.shape[1] - 2 + dx] for dy in range(-2, 3) for dx in range(-2, 3)) / 25
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> float:
@@ -174,10 +176,16 @@ def find_picture(art: np.ndarray, page: np.ndarray) -> tuple[float, float, float
         c = correlations(small, large)
         if c is not None and c.max() >= COARSE:
             y, x = np.unravel_index(c.argmax(), c.shape)
-            found.append((float(c.max()), int(y / k), int(x / k), h, w))
+            found.append((float(c.max()), int(y / k), int(x / k), h, w, int(np.ceil(1 / k)) + 1))
     best = None
-    for _, y, x, h, w in sorted(found, reverse=True)[:CANDIDATES]:
-        y, x = min(y, page.shape[0] - h), min(x, page.shape[1] - w)
+    for _, y, x, h, w, reach in sorted(found, reverse=True)[:CANDIDATES]:
+        # The place is known to a coarse pixel: once more at full size about it.
+        top, left = max(0, y - reach), max(0, x - reach)
+        c = correlations(resized(art, h, w), page[top : y + h + reach, left : x + w + reach])
+        if c is None:
+            continue
+        dy, dx = np.unravel_index(c.argmax(), c.shape)
+        y, x = top + int(dy), left + int(dx)
         a, b = resized(art, VERIFY_PX, VERIFY_PX), resized(page[y : y + h, x : x + w], VERIFY_PX, VERIFY_PX)
         grey, edge = _alike(a, b), _alike(_edges(a), _edges(b))
         if grey >= SURE_GREY and edge >= SURE_EDGES and (best is None or grey + edge > best[4]):

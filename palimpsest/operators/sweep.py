@@ -102,3 +102,9 @@ def page_text(spans: DataFrame, ocr_lines: DataFrame) -> DataFrame:
 def gap_changed(prod: Column, stage: Column, least: float = 6.0, reach: float = 120.0) -> Column:
     """The gap between a marker and its text changed by six points or more, both within reach."""
     return (prod <= reach) & (stage <= reach) & (F.abs(stage - prod) >= least)
+
+
+def font_changes(prod: DataFrame, stage: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, only_in, font): fonts that one side alone uses."""
+    a, b = (df.select(*keys, "font") for df in (prod, stage))
+    return a.subtract(b).select(*keys, F.lit("prod").alias("only_in"), "font").unionAll(b.subtract(a).select(*keys, F.lit("stage").alias("only_in"), "font"))

@@ -132,19 +132,19 @@ def pages_paired(spark, sf_dir):
 
 
 @query(f"""WITH c AS ({_CELLS}), i AS (SELECT pair_id, side, page, max((x1 - x0) * (y1 - y0)) AS area FROM c WHERE x0 IS NOT NULL GROUP BY ALL), w AS (SELECT pair_id, side, page, count(*) AS n FROM c GROUP BY ALL)
-SELECT pair_id, side, page FROM i JOIN w USING (pair_id, side, page) WHERE area >= 0.75 * 40 * 40 AND n <= 8""")
+SELECT pair_id, side, page FROM i JOIN w USING (pair_id, side, page) WHERE area >= 0.75 * 20 * 20 AND n <= 8""")
 def pages_scanned(spark, sf_dir):
     """Pages that are one picture."""
     c = _cells(spark, sf_dir)
-    pages = c.select("pair_id", "side", "page").distinct().withColumn("width", F.lit(40.0)).withColumn("height", F.lit(40.0))
+    pages = c.select("pair_id", "side", "page").distinct().withColumn("width", F.lit(20.0)).withColumn("height", F.lit(20.0))
     return S.scanned_pages(c.where("x0 is not null"), c, pages)
 
 
-@query("""SELECT DISTINCT a.pair_id, a.norm FROM (SELECT user_id AS pair_id, event_type AS norm FROM events WHERE value > 50) a WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = a.pair_id AND e.event_type = a.norm AND e.value <= 20)""")
+@query("""SELECT DISTINCT a.pair_id, a.norm FROM (SELECT user_id AS pair_id, event_type || (event_id % 40) AS norm FROM events WHERE value > 50) a WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = a.pair_id AND e.event_type || (e.event_id % 40) = a.norm AND e.value <= 50)""")
 def words_in_artwork(spark, sf_dir):
     """Recognised words that are no text of the page."""
-    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("pair_id"), F.lit("prod").alias("side"), F.lit(0).alias("page"), F.col("event_type").alias("norm"), "value")
-    return S.artwork_words(e.where("value > 50").drop("value"), e.where("value <= 20").drop("value")).select("pair_id", "norm").distinct()
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("pair_id"), F.lit("prod").alias("side"), F.lit(0).alias("page"), F.concat("event_type", (F.col("event_id") % 40).cast("string")).alias("norm"), "value")
+    return S.artwork_words(e.where("value > 50").drop("value"), e.where("value <= 50").drop("value")).select("pair_id", "norm").distinct()
 
 
 @query(f"""WITH {_LINES}, bp AS (SELECT pair_id, string_agg(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '' ORDER BY ord) AS blob FROM prod GROUP BY pair_id), bs AS (SELECT pair_id, string_agg(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '' ORDER BY ord) AS blob FROM stage GROUP BY pair_id),
@@ -181,12 +181,6 @@ def notes_by_heading(spark, sf_dir):
     return n.select("pair_id", "heading", "ord", F.array_join(F.transform("notes", lambda x: F.concat(x["title"], F.lit("x"), x["n"].cast("string"))), ";").alias("notes"))
 
 
-@query(f"""SELECT category AS kind, confidence AS op, count(*) AS n FROM ({_ISSUES}) GROUP BY ROLLUP (category, confidence)""")
-def row_counts(spark, sf_dir):
-    """Rows by kind and what became of them, with totals."""
-    return V.row_counts(_issues(spark, sf_dir).select(F.col("category").alias("kind"), F.col("confidence").alias("op")))
-
-
 @query("""SELECT o_orderkey, CAST(round_even(o_custkey % 50 + (CASE WHEN 40 > 10 THEN (10 + o_orderkey % 31 - 10) / 30.0 ELSE 0 END) * (60 - o_custkey % 50), 0) AS INT) AS page FROM orders""")
 def pages_in_proportion(spark, sf_dir):
     """A page in proportion to its chapter's range."""

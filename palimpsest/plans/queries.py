@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from palimpsest.functions import geometry as G
 from palimpsest.functions import text as X
 from palimpsest.operators import compare as C
+from palimpsest.operators import figures as P
 from palimpsest.operators import issues as I
 from palimpsest.operators import ordered as O
+from palimpsest.operators import sweep as S
+from palimpsest.operators import tables as T
 from palimpsest.sources import relations as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +82,6 @@ def text_aligned(spark, sf_dir):
     """Order-true alignment of each pair's lines (no SQL form; tested against its definition)."""
     prod, stage = _editions(spark, sf_dir)
     rows = prod.withColumn("side", F.lit("prod")).unionByName(stage.withColumn("side", F.lit("stage"))).select("pair_id", "side", F.col("ord").cast("long").alias("ord"), X.squash_title(F.col("text")).alias("key"))
-    # Lines that are the same on both sides at their n-th occurrence need no alignment.
     return C.aligned(rows, ["pair_id"])
 
 
@@ -203,10 +205,9 @@ def _boxes(spark, sf_dir):
 FROM x a JOIN x b ON a.pair_id = b.pair_id AND a.n < b.n WHERE (a.x1 - a.x0) * (a.y1 - a.y0) > 0 AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) > 0""")
 def box_overlaps(spark, sf_dir):
     """A spatial join of a pair's boxes by shared area."""
-    a = _boxes(spark, sf_dir)
-    b = a.select("pair_id", F.col("n").alias("m"), F.col("b").alias("c"))
-    share = G.overlap_fraction(F.col("b"), F.col("c"))
-    return a.join(b, "pair_id").where("n < m").withColumn("share", F.round(share, 6)).where(G.shared(F.col("b"), F.col("c")) > 0).where(G.area(F.col("b")) > 0).select("pair_id", "n", "m", "share")
+    met = C.touching_pairs(_boxes(spark, sf_dir).where(G.area(F.col("b")) >= 0), ["pair_id"], "n")
+    x, y = F.col("a.b"), F.col("b.b")
+    return met.where((G.shared(x, y) > 0) & (G.area(x) > 0)).select("pair_id", F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.round(G.overlap_fraction(x, y), 6).alias("share"))
 
 
 @query(f"""WITH {_LINES}, l AS (SELECT *, regexp_matches(text, '[.!?:;]\\s*$') AS done, regexp_matches(text, '^[\\p{{Ll}}]') AS low FROM prod),
@@ -219,11 +220,22 @@ def paragraphs_merged(spark, sf_dir):
     return merged.select("pair_id", "island", "ord", "n_lines")
 
 
-@query(f"""WITH {_LINES} SELECT pair_id, key, count(DISTINCT page) AS n_pages FROM (SELECT *, regexp_replace(text, '[0-9]', '#', 'g') AS key FROM prod WHERE (y < 3 OR y > 16) AND length(text) < 120 AND NOT regexp_matches(text, '[.!?]\\s*$')) GROUP BY pair_id, key HAVING count(DISTINCT page) >= 2""")
+_FOOTED = f"""{_LINES}, footed AS (SELECT pair_id, page, CAST(36 * y + 90 AS DOUBLE) AS y0, CAST(36 * y + 102 AS DOUBLE) AS y1, text, 1 AS n_lines FROM prod UNION ALL SELECT DISTINCT pair_id, page, 850.0, 862.0, 'Manual ' || (pair_id % 7) || ' - ' || page, 1 FROM prod UNION ALL SELECT DISTINCT pair_id, page, 20.0, 32.0, CAST(page + 1 AS VARCHAR), 1 FROM prod)"""
+
+
+@query(f"""WITH {_FOOTED}, b AS (SELECT *, CASE WHEN y1 <= 0.12 * 900 THEN 'top' WHEN y0 >= 0.88 * 900 THEN 'foot' END AS band, trim(regexp_replace(lower(regexp_replace(text, '[0-9]+', '#', 'g')), '\\s+', ' ', 'g')) AS key, (n_lines <= 3 OR y1 - y0 <= 22) AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: length(w) > 0)) <= 16 AND NOT regexp_matches(text, '[.!?:;]\\s*$') AS short FROM footed),
+n AS (SELECT pair_id, band, key, count(DISTINCT page) AS pages FROM b WHERE band IS NOT NULL AND short GROUP BY ALL) SELECT b.pair_id, b.page, b.y0, b.text, CASE WHEN regexp_matches(trim(text), '^(?:[-–]\\s*)?(?:[0-9]{{1,4}}|[ivxlc]{{1,6}})(?:\\s*[-–])?$') THEN 'page number' WHEN pages >= 3 THEN 'running' WHEN b.y0 >= 0.94 * 900 THEN 'foot' END AS why FROM b LEFT JOIN n USING (pair_id, band, key)
+WHERE b.band IS NOT NULL AND short AND (regexp_matches(trim(text), '^(?:[-–]\\s*)?(?:[0-9]{{1,4}}|[ivxlc]{{1,6}})(?:\\s*[-–])?$') OR pages >= 3 OR b.y0 >= 0.94 * 900)""")
 def running_lines(spark, sf_dir):
-    """L1: short lines in the top or bottom band, digits masked, that stand on several pages."""
-    band = R.lines(_t(spark, sf_dir, "documents")).where("(y < 3 or y > 16) and length(text) < 120").where(~F.rlike("text", F.lit(r"[.!?]\s*$")))
-    return band.groupBy("pair_id", F.regexp_replace("text", "[0-9]", "#").alias("key")).agg(F.countDistinct("page").alias("n_pages")).where("n_pages >= 2")
+    """L1: page numbers and lines that run through the pages' heads and feet."""
+    lines = R.lines(_t(spark, sf_dir, "documents"))
+    k = F.col("pair_id")
+    body = lines.select("pair_id", "page", (36.0 * F.col("y") + 90).alias("y0"), (36.0 * F.col("y") + 102).alias("y1"), "text")
+    pages = lines.select("pair_id", "page").distinct()
+    foot = pages.select("pair_id", "page", F.lit(850.0).alias("y0"), F.lit(862.0).alias("y1"), F.concat(F.lit("Manual "), (k % 7).cast("string"), F.lit(" - "), F.col("page").cast("string")).alias("text"))
+    head = pages.select("pair_id", "page", F.lit(20.0).alias("y0"), F.lit(32.0).alias("y1"), (F.col("page") + 1).cast("string").alias("text"))
+    found = O.running_lines(body.unionByName(foot).unionByName(head).withColumn("n_lines", F.lit(1)).withColumn("height", F.lit(900.0)), ["pair_id"])
+    return found.where("why is not null").select("pair_id", "page", "y0", "text", "why")
 
 
 @query("""WITH b AS (SELECT l_orderkey AS pair_id, floor(l_quantity / 5) * 5 AS bin, l_quantity AS x FROM lineitem),
@@ -246,11 +258,12 @@ def dominant_styles(spark, sf_dir):
     return whole.select("pair_id", F.col("top.font").alias("font"), (-F.col("top.w")).alias("weight"), F.round(-F.col("top.w") / F.col("all"), 6).alias("share"))
 
 
-_HEADS = f"""{_LINES}, heads AS (SELECT pair_id, ord, page, y, text AS title FROM prod WHERE length(text) BETWEEN 3 AND 90 AND NOT regexp_matches(text, '[.!?:;]\\s*$'))"""
+_HEADS = f"""{_LINES}, heads AS (SELECT pair_id, ord, page, y, text AS title FROM prod WHERE ord % 7 = 0 OR length(text) BETWEEN 3 AND 90 AND NOT regexp_matches(text, '[.!?:;]\\s*$'))"""
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    return lines.where(F.length("text").between(3, 90) & ~F.rlike("text", F.lit(r"[.!?:;]\s*$"))).select("pair_id", "ord", "page", "y", F.col("text").alias("title"))
+    # Every seventh line stands for one that is set as a heading.
+    return lines.where((F.col("ord") % 7 == 0) | (F.length("text").between(3, 90) & ~F.rlike("text", F.lit(r"[.!?:;]\s*$")))).select("pair_id", "ord", "page", "y", F.col("text").alias("title"))
 
 
 @query(f"""WITH {_HEADS} SELECT pair_id, ord, page, y, title, lead(page) OVER w AS end_page, lead(y) OVER w AS end_y FROM heads WINDOW w AS (PARTITION BY pair_id ORDER BY page, y, ord)""")
@@ -319,20 +332,21 @@ def table_words_lost(spark, sf_dir):
     return C.bag_difference(_tokens(p, "tbl"), _tokens(s, "tbl"), ["tbl", "token"])
 
 
-@query(f"""WITH {_GRIDS}, a AS (SELECT tbl, token, count(*) AS n FROM pt GROUP BY ALL), b AS (SELECT tbl, token, count(*) AS m FROM st GROUP BY ALL), ta AS (SELECT tbl, sum(n) AS total FROM a GROUP BY ALL), tb AS (SELECT tbl, sum(m) AS total FROM b GROUP BY ALL)
-SELECT a.tbl AS prod_tbl, b.tbl AS stage_tbl, round(sum(least(n, m)) / greatest(max(ta.total), max(tb.total)), 6) AS similarity FROM a JOIN b USING (token) JOIN ta ON ta.tbl = a.tbl JOIN tb ON tb.tbl = b.tbl GROUP BY a.tbl, b.tbl""")
+@query(f"""WITH {_GRIDS}, a AS (SELECT tbl % 10 AS pair_id, tbl, token, count(*) AS n FROM pt GROUP BY ALL), b AS (SELECT tbl % 10 AS pair_id, tbl, token, count(*) AS m FROM st GROUP BY ALL), ta AS (SELECT tbl, sum(n) AS total FROM a GROUP BY ALL), tb AS (SELECT tbl, sum(m) AS total FROM b GROUP BY ALL)
+SELECT a.pair_id, a.tbl AS prod_tbl, b.tbl AS stage_tbl, round(sum(least(n, m)) / greatest(max(ta.total), max(tb.total)), 6) AS similarity FROM a JOIN b USING (pair_id, token) JOIN ta ON ta.tbl = a.tbl JOIN tb ON tb.tbl = b.tbl GROUP BY a.pair_id, a.tbl, b.tbl""")
 def table_similarities(spark, sf_dir):
-    """How alike two tables' bags of words are."""
-    p, s = _grids(spark, sf_dir)
-    sim = C.bag_similarity(_tokens(p, "tbl").withColumnRenamed("tbl", "prod_tbl"), _tokens(s, "tbl").withColumnRenamed("tbl", "stage_tbl"), ["prod_tbl"], ["stage_tbl"], "token")
-    return sim.select("prod_tbl", "stage_tbl", F.round("similarity", 6).alias("similarity"))
+    """How alike two tables' bags of words are, within a pair of documents."""
+    p, s = (_tokens(g, "tbl").withColumn("pair_id", F.col("tbl") % 10) for g in _grids(spark, sf_dir))
+    sim = C.bag_similarity(p.withColumnRenamed("tbl", "prod_tbl"), s.withColumnRenamed("tbl", "stage_tbl"), ["pair_id", "prod_tbl"], ["pair_id", "stage_tbl"], "token")
+    return sim.select("pair_id", "prod_tbl", "stage_tbl", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def tables_matched(spark, sf_dir):
-    """One-to-one matches of tables, best first, from 0.5 on (greedy order has no SQL form)."""
-    sim = table_similarities(spark, sf_dir).where("similarity >= 0.5").withColumn("doc", F.lit(0))
-    return C.greedy_pairs(sim, ["doc"], "prod_tbl", "stage_tbl", "similarity").select("prod_tbl", "stage_tbl", "similarity")
+    """One-to-one tables of a pair, by words and then by place (greedy order has no SQL form; tested against brute force)."""
+    sim = table_similarities(spark, sf_dir).select("pair_id", F.lit(0).alias("section"), F.col("prod_tbl").alias("prod"), F.col("stage_tbl").alias("stage"), "similarity")
+    sides = [g.groupBy("tbl").agg((F.max("col") + 1 + F.col("tbl") % 2).alias("n_cols"), F.count("*").alias("n")).select((F.col("tbl") % 10).alias("pair_id"), F.lit(0).alias("section"), F.lit(side).alias("side"), "tbl", "n_cols", (F.col("tbl") % 4).alias("page"), F.col("n").cast("double").alias("y")) for side, g in zip(("prod", "stage"), _grids(spark, sf_dir), strict=True)]
+    return T.matched_tables(sim, sides[0].unionByName(sides[1]))
 
 
 _ROWS = "r1 AS (SELECT tbl, row, lower(cells[1]) AS key, row_number() OVER (PARTITION BY tbl, lower(cells[1]) ORDER BY row) AS nth, cells FROM p), r2 AS (SELECT tbl, row, lower(cells[1]) AS key, row_number() OVER (PARTITION BY tbl, lower(cells[1]) ORDER BY row) AS nth, cells FROM s)"
@@ -384,49 +398,47 @@ def grid_edges_trimmed(spark, sf_dir):
 
 
 _VEC = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+_FIG_VEC = "SELECT vec_id, CAST(floor(vec_id / 40) AS BIGINT) AS pair_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 
 
 def _figures(spark, sf_dir):
-    return _t(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("section"), F.col("embedding").cast("array<double>").alias("v"))
+    """Figures with a fingerprint: the thumbnail of standard length, a bit for each positive component."""
+    v = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    bits = F.aggregate(F.sequence(F.lit(0), F.least(F.size("v"), F.lit(64)) - 1), F.lit(0).cast("long"), lambda h, k: h.bitwiseOR(F.when(F.get("v", k) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))))
+    raw = _t(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 40).alias("pair_id"), F.col("label").alias("section"), v.alias("v")).withColumn("_n", norm)
+    return raw.select("vec_id", "pair_id", "section", "v", F.struct(bits.alias("dhash"), F.transform("v", lambda x: x / F.col("_n") * F.sqrt(F.size("v").cast("double"))).alias("thumb")).alias("f"))
 
 
-@query(f"""WITH e AS ({_VEC}), p AS (SELECT * FROM e WHERE vec_id % 2 = 0), s AS (SELECT * FROM e WHERE vec_id % 2 = 1 AND vec_id % 3 = 0)
-SELECT p.label AS section, p.vec_id AS prod_id, s.vec_id AS stage_id, round(greatest(list_inner_product(p.v, s.v), 0), 5) AS similarity FROM p JOIN s ON p.label = s.label WHERE list_inner_product(p.v, s.v) >= 0.3""")
-def figure_similarities(spark, sf_dir):
-    """Figures of one section by correlation of their thumbnails: the second half of I3, without hashes."""
-    return _similar(_figures(spark, sf_dir), "vec_id % 2 = 1 and vec_id % 3 = 0")
+def _similar(spark, sf_dir, stage_section):
+    f = _figures(spark, sf_dir)
+    p = f.where("vec_id % 2 = 0").select("pair_id", "section", F.col("vec_id").alias("prod"), F.col("f").alias("a"))
+    s = f.where("vec_id % 2 = 1").select("pair_id", stage_section.alias("section"), F.col("vec_id").alias("stage"), F.col("f").alias("b"))
+    return p.join(s, ["pair_id", "section"]).select("pair_id", "section", "prod", "stage", P.similarity(F.col("a"), F.col("b")).alias("score"))
 
 
-def _similar(f, stage):
-    p = f.where("vec_id % 2 = 0").select("section", F.col("vec_id").alias("prod_id"), F.col("v").alias("a"))
-    s = f.where(stage).select("section", F.col("vec_id").alias("stage_id"), F.col("v").alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    return p.join(s, "section").withColumn("dot", dot).where("dot >= 0.3").select("section", "prod_id", "stage_id", F.round(F.greatest("dot", F.lit(0.0)), 5).alias("similarity"))
+@query(f"""WITH e AS ({_FIG_VEC}), p AS (SELECT * FROM e WHERE vec_id % 2 = 0), s AS (SELECT * FROM e WHERE vec_id % 2 = 1), j AS (SELECT p.pair_id, p.label AS section, p.vec_id AS prod, s.vec_id AS stage, p.v AS a, s.v AS b FROM p JOIN s ON p.pair_id = s.pair_id AND p.label = s.label)
+SELECT pair_id, section, prod, stage, round(0.55 * (1 - len(list_filter(list_zip(a, b), lambda x: (x[1] > 0) <> (x[2] > 0))) / 64.0) + 0.45 * greatest(list_inner_product(a, b) / sqrt(list_inner_product(a, a) * list_inner_product(b, b)), 0), 5) AS similarity FROM j""")
+def figure_similarities(spark, sf_dir):
+    """Figures of one section by their hashes and the correlation of their thumbnails."""
+    return _similar(spark, sf_dir, F.col("section")).select("pair_id", "section", "prod", "stage", F.round("score", 5).alias("similarity"))
 
 
 @query()
 def figures_matched(spark, sf_dir):
-    """One-to-one figures of a section, best first: a single pass from 0.3 on, not the steps of I5."""
-    return C.greedy_pairs(_similar(_figures(spark, sf_dir), "vec_id % 2 = 1"), ["section"], "prod_id", "stage_id", "similarity")
-
-
-_HASH = "CAST((vec_id * 2654435761) % 4294967296 AS BIGINT)"
-
-
-@query(f"""SELECT vec_id, 1 - bit_count(xor({_HASH}, CAST(((vec_id + 1) * 2654435761) % 4294967296 AS BIGINT))) / 64.0 AS hash_similarity, CASE WHEN label % 3 = 0 THEN 'same' WHEN label % 3 = 1 THEN 'review' ELSE 'differs' END AS status FROM embeddings""")
-def figure_hashes(spark, sf_dir):
-    """Hash similarity by population count, status by threshold."""
-    h = lambda c: (c * 2654435761) % 4294967296
-    sim = 1 - F.bit_count(h(F.col("vec_id")).bitwiseXOR(h(F.col("vec_id") + 1))) / 64.0
-    return _t(spark, sf_dir, "embeddings").select("vec_id", sim.alias("hash_similarity"), F.when(F.col("label") % 3 == 0, "same").when(F.col("label") % 3 == 1, "review").otherwise("differs").alias("status"))
+    """One-to-one figures of a section, then of the next one (greedy order has no SQL form; the steps are tested against their definition)."""
+    direct, spilled = _similar(spark, sf_dir, F.col("section")), _similar(spark, sf_dir, F.col("section") - 1)
+    unions = direct.where(F.lit(False)).withColumn("second", F.lit(None).cast("long")).withColumn("area_ratio", F.lit(1.0))
+    slid = direct.withColumn("slide", F.col("score"))
+    return P.matched_in_steps(direct, unions, slid, spilled).withColumnRenamed("stage", "stage_id").withColumnRenamed("prod", "prod_id")
 
 
 @query(f"""WITH e AS ({_VEC}), m AS (SELECT *, list_avg(v) AS mean FROM e) SELECT label AS section, count(*) AS figures, count(*) FILTER (WHERE sqrt(list_avg(list_transform(v, lambda x: x * x)) - mean * mean) < 0.1) AS featureless FROM m GROUP BY label""")
 def figure_summary(spark, sf_dir):
-    """Figures of each section and how many show nothing (standard deviation)."""
+    """Figures of each section and how many show nothing (standard deviation)."""
     mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) / F.size("v")
-    f = _figures(spark, sf_dir).select("section", F.sqrt(square - mean * mean).alias("sd"))
+    f = _t(spark, sf_dir, "embeddings").select(F.col("label").alias("section"), F.col("embedding").cast("array<double>").alias("v")).select("section", F.sqrt(square - mean * mean).alias("sd"))
     return f.groupBy("section").agg(F.count("*").alias("figures"), F.count_if(F.col("sd") < 0.1).alias("featureless"))
 
 
@@ -463,13 +475,13 @@ def link_checks(spark, sf_dir):
     return links.join(known, "authority", "left").select("page_id", "href", status.alias("status"))
 
 
-@query("""SELECT 'prod' AS only_in, font FROM (SELECT DISTINCT p_brand AS font FROM part WHERE p_size < 20 EXCEPT SELECT DISTINCT p_brand FROM part WHERE p_size >= 48)
-UNION ALL SELECT 'stage', font FROM (SELECT DISTINCT p_brand AS font FROM part WHERE p_size >= 48 EXCEPT SELECT DISTINCT p_brand FROM part WHERE p_size < 20)""")
+@query("""SELECT 'prod' AS only_in, font FROM (SELECT DISTINCT p_brand || '-' || (p_partkey % 7) AS font FROM part WHERE p_size < 25 EXCEPT SELECT DISTINCT p_brand || '-' || (p_partkey % 5) FROM part WHERE p_size >= 25)
+UNION ALL SELECT 'stage', font FROM (SELECT DISTINCT p_brand || '-' || (p_partkey % 5) AS font FROM part WHERE p_size >= 25 EXCEPT SELECT DISTINCT p_brand || '-' || (p_partkey % 7) FROM part WHERE p_size < 25)""")
 def font_changes(spark, sf_dir):
     """Fonts that only one side uses (EXCEPT both ways)."""
-    p = _t(spark, sf_dir, "part").select(F.col("p_brand").alias("font"), "p_size")
-    a, b = p.where("p_size < 20").select("font"), p.where("p_size >= 48").select("font")
-    return a.subtract(b).select(F.lit("prod").alias("only_in"), "font").unionAll(b.subtract(a).select(F.lit("stage").alias("only_in"), "font"))
+    p = _t(spark, sf_dir, "part")
+    font = lambda n: F.concat("p_brand", F.lit("-"), (F.col("p_partkey") % n).cast("string")).alias("font")
+    return S.font_changes(p.where("p_size < 25").select(font(7)), p.where("p_size >= 25").select(font(5)), [])
 
 
 @query(f"""WITH {_LINES}, a AS (SELECT pair_id, page, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]{{3,}}')) AS word FROM prod), b AS (SELECT pair_id, page, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]{{3,}}')) AS word FROM stage),
@@ -505,11 +517,17 @@ def verdicts(spark, sf_dir):
     return I.verdicts(_issues(spark, sf_dir), ["pair_id"])
 
 
-@query(f"""WITH h AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in I.HELP.items())}) AS t(prefix, help)), i AS (SELECT DISTINCT message FROM ({_ISSUES}))
+_HELPED = "(VALUES " + ", ".join(f"({n}, '{k}', '{v.replace(chr(39), chr(39) * 2)}')" for n, (k, v) in enumerate(I.HELP.items())) + ") AS t(n, prefix, help)"
+
+
+@query(f"""WITH h AS (SELECT * FROM {_HELPED}), i AS (SELECT DISTINCT CASE WHEN o_orderkey % 50 = 0 THEN 'Something else' ELSE prefix || CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' in continuation' ELSE ', see there' END END AS message FROM orders JOIN h ON o_orderkey % {len(I.HELP)} = n)
 SELECT message, (SELECT help FROM h WHERE starts_with(message, prefix) ORDER BY length(prefix) DESC LIMIT 1) AS help FROM i""")
 def explanations(spark, sf_dir):
     """The help of the longest prefix of each message."""
-    return I.explained(_issues(spark, sf_dir)).select("message", "help").distinct()
+    k = F.col("o_orderkey")
+    message = F.get(F.array(*map(F.lit, I.HELP)), (k % len(I.HELP)).cast("int"))
+    ending = F.when(k % 3 == 0, "").when(k % 3 == 1, " in continuation").otherwise(", see there")
+    return I.explained(_t(spark, sf_dir, "orders").select(F.when(k % 50 == 0, "Something else").otherwise(F.concat(message, ending)).alias("message"))).select("message", "help").distinct()
 
 
 @query(f"""SELECT category, severity, count(*) AS n FROM ({_ISSUES}) GROUP BY ROLLUP (category, severity)""")

@@ -1,6 +1,6 @@
 """The engine's registered queries."""
 
-from palimpsest.plans import layout_queries, section_queries  # noqa: F401
+from palimpsest.plans import layout_queries, section_queries, table_queries  # noqa: F401
 from palimpsest.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -23,6 +23,11 @@ def read_relations(spark: SparkSession, prod: str, stage: str) -> dict[str, Data
     return out
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, where several results are made of them: in the shared folder, or, where none is named, in memory and on disk."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def boxes_of_tables(grids: DataFrame) -> DataFrame:
     return grids.groupBy("pair_id", "side", "page", "tbl").agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
 
@@ -34,17 +39,17 @@ def compare(relations: dict[str, DataFrame]) -> dict[str, DataFrame]:
     whole document; pages, fonts and titles are counted. An issue is an error unless it is for review.
     """
     spans, pages = relations["spans"], relations["pages"]
-    entries = H.resolved(relations["outline"], spans, boxes_of_tables(relations["grids"]), relations["images"].where(F.lit(False)).select("pair_id", "side", "page", "x0", "y0", "x1", "y1"), pages)
+    entries = kept(H.resolved(relations["outline"], spans, boxes_of_tables(relations["grids"]), relations["images"].where(F.lit(False)).select("pair_id", "side", "page", "x0", "y0", "x1", "y1"), pages))
     lines = H.printed_lines(spans)
-    matched = H.matched(entries.where("not excluded").drop("excluded"))
+    matched = kept(H.matched(entries.where("not excluded").drop("excluded")))
     # A section is the number of the last heading that both sides have.
     marks = [matched.where("prod is not null and stage is not null").select("pair_id", F.lit(side).alias("side"), F.col(f"{side}.page").alias("page"), F.col(f"{side}.y").alias("y"), F.col("n").cast("long").alias("section")) for side in ("prod", "stage")]
     placed = last_before(lines.select("pair_id", "side", "page", "y", "block", "line", "text"), marks[0].unionByName(marks[1]), ["pair_id", "side"], ["page", "y"], "section").withColumn("section", F.coalesce("section", F.lit(-1).cast("long")))
     heads = entries.select("pair_id", "side", "page", "y").distinct().withColumn("_head", F.lit(True))
-    records = placed.join(heads, ["pair_id", "side", "page", "y"], "left").where(~X.is_page_number(F.col("text"))).select("pair_id", "section", "side", (F.col("page") * 1_000_000 + F.col("block") * 1000 + F.col("line")).cast("long").alias("ord"), F.when(F.col("_head"), "heading").otherwise("prose").alias("kind"), "text")
+    records = kept(placed.join(heads, ["pair_id", "side", "page", "y"], "left").where(~X.is_page_number(F.col("text"))).select("pair_id", "section", "side", (F.col("page") * 1_000_000 + F.col("block") * 1000 + F.col("line")).cast("long").alias("ord"), F.when(F.col("_head"), "heading").otherwise("prose").alias("kind"), "text"))
     blob = lambda keys: records.groupBy(*keys, "side").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda t: X.alnum_blob(t["text"])), " ").alias("blob"))
     rows = S.cross_present(S.aligned_rows(records), blob(["pair_id", "section"]))
-    rows = S.callouts_refiled(S.relocated(rows, records.select("pair_id", "side", "text")))
+    rows = kept(S.callouts_refiled(S.relocated(kept(rows), records.select("pair_id", "side", "text"))))
     found = rows.where("op <> 'equal' and kind in ('prose', 'heading')")
     message = F.when(F.col("op") == "prod", "Missing text").when(F.col("op") == "stage", "Added text").otherwise("Changed text")
     text = F.map_filter(F.create_map(F.lit("expected"), F.col("prod"), F.lit("actual"), F.col("stage")), lambda k, v: v.isNotNull())
