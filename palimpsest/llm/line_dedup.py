@@ -63,14 +63,22 @@ class SortedTable:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def plain(self) -> DataFrame:
+        """The rows read as files of no order: what is to be put together with other tables (see _merged)."""
+        return self.spark.read.schema(self.rows().schema).parquet(self.path)
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         delete_path(self.spark, self.path)
 
 
-def _by_hash(rows: DataFrame) -> DataFrame:
-    """Grouped by hash, as a bucketed table wants it: a bucket a partition."""
-    return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+def _merged(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Two runs as one: a merge of what is sorted alike. A hash is in one run alone, so a row is that of the run it is in, the first one if there were two.
+
+    Not a union that is grouped: Spark takes a union of bucketed tables for bucketed itself, but does not put their buckets together.
+    """
+    a, b = one.select(*KEY, F.struct("n_docs", "keeper").alias("a")).hint("merge"), two.select(*KEY, F.struct("n_docs", "keeper").alias("b"))
+    return a.join(b, KEY, "full_outer").withColumn("x", F.coalesce("b", "a")).select(*KEY, "x.n_docs", "x.keeper")
 
 
 class LineRuns:
@@ -87,8 +95,7 @@ class LineRuns:
 
         An empty batch adds an empty run; rows may repeat.
         """
-        held = lines.select("id", *KEY).distinct().select(*KEY, F.lit(1).cast("long").alias("n_docs"), F.col("id").alias("keeper"))
-        batch = SortedTable(_by_hash(held))
+        batch = SortedTable(lines.select("id", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")))
         runs = self.runs()
         if not runs:
             self._put(0, batch)
@@ -109,83 +116,21 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             with _buckets_in_order(run.spark):
-                merged = SortedTable(_by_hash(reduce(DataFrame.unionAll, [x.rows() for x in old])))
+                merged = SortedTable(reduce(_merged, [x.rows() for x in old]))
             for x in old:
                 x.drop()
             self._put(level + 1, merged)
 
     def sightings(self) -> DataFrame:
         """(h1, h2, n_docs, keeper): the rows of all runs, one for each hash."""
-        return reduce(DataFrame.unionAll, [run.rows() for run in self.runs()])
+        return reduce(DataFrame.unionAll, [run.plain() for run in self.runs()])
 
     def repeated(self, least_docs: int) -> DataFrame:
         """(h1, h2, keeper): the hashes that at least `least_docs` documents hold. The keeper is that of the run the hash is in."""
-        rows = reduce(DataFrame.unionAll, [t.rows() for t in self.tallies], self.sightings())
+        rows = reduce(DataFrame.unionAll, [t.plain() for t in [*self.runs(), *self.tallies]])
         counted = rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.min("keeper").alias("keeper"))
         return counted.where(F.col("n_docs") >= least_docs).select(*KEY, "keeper")
 
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        delete_path(self.spark, self.path)
-
-
-def _by_hash(rows: DataFrame) -> DataFrame:
-    """Grouped by hash, as a bucketed table wants it: a bucket a partition."""
-    return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
-
-
-class LineRuns:
-    """The runs of all batches so far, by level, and the tallies of lines that came again. Batches must come in falling order of their ids."""
-
-    def __init__(self, fanout: int = 2) -> None:
-        self.fanout, self.levels, self.tallies = fanout, [], []
-
-    def runs(self) -> list[SortedTable]:
-        return [run for level in self.levels for run in level]
-
-    def add(self, lines: DataFrame) -> None:
-        """Takes in a batch (id, h1, h2), whose ids are all smaller than those of earlier batches; repeats of a line in a document count once.
-
-        An empty batch adds an empty run; rows may repeat.
-        """
-        held = lines.select("id", *KEY).distinct().select(*KEY, F.lit(1).cast("long").alias("n_docs"), F.col("id").alias("keeper"))
-        batch = SortedTable(_by_hash(held))
-        runs = self.runs()
-        if not runs:
-            self._put(0, batch)
-            return
-        with _buckets_in_order(batch.spark):
-            first = reduce(lambda rest, run: rest.join(run.rows().select(*KEY).hint("merge"), KEY, "left_anti"), runs, batch.rows())
-            own = SortedTable(first)
-            # A hash is in one run at most, so no row of the batch is tallied twice.
-            again = [SortedTable(batch.rows().join(run.rows().select(*KEY).hint("merge"), KEY, "left_semi").withColumn("keeper", F.lit(None).cast("long"))) for run in runs]
-        batch.drop()
-        self.tallies += again
-        self._put(0, own)
-
-    def _put(self, level: int, run: SortedTable) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            with _buckets_in_order(run.spark):
-                merged = SortedTable(_by_hash(reduce(DataFrame.unionAll, [x.rows() for x in old])))
-            for x in old:
-                x.drop()
-            self._put(level + 1, merged)
-
-    def sightings(self) -> DataFrame:
-        """(h1, h2, n_docs, keeper): the rows of all runs, one for each hash."""
-        return reduce(DataFrame.unionAll, [run.rows() for run in self.runs()])
-
-    def repeated(self, least_docs: int) -> DataFrame:
-        """(h1, h2, keeper): the hashes that at least `least_docs` documents hold. The keeper is that of the run the hash is in."""
-        more = [t.rows().select(*KEY, "n_docs", F.lit(None).cast("long").alias("keeper"), F.lit(False).alias("first")) for t in self.tallies]
-        rows = reduce(DataFrame.unionAll, more, self.sightings().select(*KEY, "n_docs", "keeper", F.lit(True).alias("first")))
-        counted = rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.min("keeper").alias("keeper"), F.count_if("first").alias("runs"))
-        return counted.where((F.col("n_docs") >= least_docs) & (F.col("runs") == 1)).select(*KEY, "keeper")
-
     def drop(self) -> None:
         for t in [*self.runs(), *self.tallies]:
             t.drop()

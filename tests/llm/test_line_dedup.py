@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import line_dedup
@@ -70,8 +69,9 @@ def test_runs_are_levelled_and_hold_first_sightings(spark):
 def test_the_anti_join_decides_who_keeps_a_line(spark, monkeypatch):
     rows = corpus()
     whole = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "text").collect()
-    join = DataFrame.join
-    monkeypatch.setattr(DataFrame, "join", lambda self, other, on=None, how=None: self if how == "left_anti" else join(self, other, on, how))
+    kind = type(spark.range(1))
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None: self if how == "left_anti" else join(self, other, on, how))
     broken = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "text").collect()
     assert sorted(whole, key=str) != sorted(broken, key=str)
 
@@ -80,7 +80,7 @@ def test_runs_meet_as_they_lie(spark):
     runs = runs_of(spark, BATCHES)
     one, two = runs.runs()
     with line_dedup._buckets_in_order(spark):
-        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (two.rows().join(one.rows().select(*line_dedup.KEY).hint("merge"), line_dedup.KEY, "left_anti"), line_dedup._by_hash(one.rows().unionAll(two.rows())))]
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (two.rows().join(one.rows().select(*line_dedup.KEY).hint("merge"), line_dedup.KEY, "left_anti"), line_dedup._merged(one.rows(), two.rows()))]
     assert "SortMergeJoin" in plans[0] and not any("Exchange" in p for p in plans)
     runs.drop()
 
