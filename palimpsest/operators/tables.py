@@ -109,12 +109,12 @@ def is_table(cells: DataFrame) -> DataFrame:
 
 
 def words_to_cells(words: DataFrame, cells: DataFrame) -> DataFrame:
-    """Each word in the cell that holds its centre (the leftmost, if several do): a join by page, not by all cells."""
+    """Each word in the cell that holds its centre (the leftmost, if several do): a join by page, not by all cells. Words of one id are one word."""
     c = cells.where("x0 is not null").select("pair_id", "side", "page", "tbl", "row", "col", *[F.col(k).alias(f"c_{k}") for k in ("x0", "y0", "x1", "y1")])
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     held = words.join(c, ["pair_id", "side", "page"]).where(x.between(F.col("c_x0"), F.col("c_x1")) & y.between(F.col("c_y0"), F.col("c_y1")))
-    best = held.groupBy("pair_id", "side", "page", "word_id").agg(F.min(F.struct("c_x0", "tbl", "row", "col")).alias("cell"))
-    return words.join(best, ["pair_id", "side", "page", "word_id"]).withColumn("tbl", F.col("cell.tbl")).withColumn("row", F.col("cell.row")).withColumn("col", F.col("cell.col")).drop("cell")
+    w = Window.partitionBy("pair_id", "side", "page", "word_id").orderBy("c_x0", "tbl", "row", "col")
+    return held.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*words.columns, "tbl", "row", "col")
 
 
 def dark_regions(tables: DataFrame, fills: DataFrame, least: float = 0.4) -> DataFrame:

@@ -60,6 +60,13 @@ def test_vertical_merges_and_words_in_cells(spark):
     assert [r["row"] for r in T.dark_regions(df.where("row = 0"), fills).collect()] == [0]
 
 
+def test_words_of_one_id_are_one_word(spark):
+    key = "pair_id int, side string, page int, "
+    cells = spark.createDataFrame([(1, "prod", 0, 0, 5, 0, 0.0, 0.0, 10.0, 10.0), (1, "prod", 0, 0, 6, 0, 20.0, 0.0, 30.0, 10.0)], key + "tbl int, row int, col int, x0 double, y0 double, x1 double, y1 double")
+    words = spark.createDataFrame([(1, "prod", 0, 7, x, 1.0, x + 2.0, 3.0) for x in (24.0, 4.0, 5.0)] + [(1, "prod", 0, None, 4.0, 1.0, 6.0, 3.0)], key + "word_id int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((r.word_id or 0, r["row"]) for r in T.words_to_cells(words, cells).collect()) == [(0, 5), (7, 5)]
+
+
 def test_marker_changes_are_grouped(spark):
     schema = "pair_id int, page int, y double, text string"
     prod = L.list_items(spark.createDataFrame([(1, 0, 20.0 * i, f"{i + 1}. Do step {w}") for i, w in enumerate("vwxyz")], schema))
