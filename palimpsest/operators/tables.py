@@ -123,8 +123,11 @@ def dark_regions(tables: DataFrame, fills: DataFrame, least: float = 0.4) -> Dat
     dark = fills.where(0.299 * r + 0.587 * g + 0.114 * b < 0.35).select("pair_id", "side", "page", *[F.col(k).alias(f"d_{k}") for k in ("x0", "y0", "x1", "y1")])
     width = F.greatest(F.least("x1", "d_x1") - F.greatest("x0", "d_x0"), F.lit(0.0))
     height = F.greatest(F.least("y1", "d_y1") - F.greatest("y0", "d_y0"), F.lit(0.0))
-    cover = tables.join(dark, ["pair_id", "side", "page"]).groupBy(*TABLE).agg(F.max(width * height / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).alias("cover"))
-    return tables.join(cover.where(F.col("cover") >= least), TABLE, "left_semi")
+    covers = width * height / F.nullif((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(0.0)) >= least
+    t, key = tables.alias("t"), ["pair_id", "side", "page"]
+    same = [F.col(f"t.{k}") == F.col(f"d_{k}") for k in key]
+    # Each table by its own box, also where tables share a number.
+    return t.join(dark.withColumnsRenamed({k: f"d_{k}" for k in key}), [*same, covers], "left_semi")
 
 
 def closest_rows(prod: DataFrame, stage: DataFrame) -> DataFrame:

@@ -67,6 +67,13 @@ def test_words_of_one_id_are_one_word(spark):
     assert sorted((r.word_id or 0, r["row"]) for r in T.words_to_cells(words, cells).collect()) == [(0, 5), (7, 5)]
 
 
+def test_each_table_is_dark_by_its_own_box(spark):
+    key = "pair_id int, side string, page int, "
+    tables = spark.createDataFrame([(1, "prod", 0, 3, x, 0.0, x + 10.0, 10.0) for x in (0.0, 50.0)] + [(1, "prod", 0, 4, 2.0, 2.0, 2.0, 2.0)], key + "tbl int, x0 double, y0 double, x1 double, y1 double")
+    fills = spark.createDataFrame([(1, "prod", 0, 0x101010, 0.0, 0.0, 10.0, 5.0)], key + "fill int, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.tbl, r.x0) for r in T.dark_regions(tables, fills).collect()] == [(3, 0.0)]
+
+
 def test_marker_changes_are_grouped(spark):
     schema = "pair_id int, page int, y double, text string"
     prod = L.list_items(spark.createDataFrame([(1, 0, 20.0 * i, f"{i + 1}. Do step {w}") for i, w in enumerate("vwxyz")], schema))
