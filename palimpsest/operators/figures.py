@@ -194,9 +194,11 @@ def highlight_boxes(figures: DataFrame, draws: DataFrame) -> DataFrame:
 
     Draws: type (s or sf), closed, items (1 for a rectangle, 4 for four lines), stroke. dx and dy count from the figure's corner.
     """
-    from palimpsest.functions import text as X
-
-    d = draws.where(F.col("type").isin("s", "sf") & ((F.col("items") == 1) | (F.col("closed") & (F.col("items") == 4))) & F.col("stroke").isNotNull()).where(X.saturation(F.col("stroke")) >= SATURATED).select(*PAGE, *[F.col(c).alias(f"d_{c}") for c in ("x0", "y0", "x1", "y1")])
+    # In whole channels: shares of 255 can fall short of a saturation that is met to the point.
+    channels = [F.shiftright("stroke", n).bitwiseAND(F.lit(255)) for n in (16, 8, 0)]
+    top = F.greatest(*channels)
+    saturated = (top - F.least(*channels)) / F.when(top > 0, top) >= SATURATED
+    d = draws.where(F.col("type").isin("s", "sf") & ((F.col("items") == 1) | (F.col("closed") & (F.col("items") == 4))) & saturated).select(*PAGE, *[F.col(c).alias(f"d_{c}") for c in ("x0", "y0", "x1", "y1")])
     w, h = F.col("d_x1") - F.col("d_x0"), F.col("d_y1") - F.col("d_y0")
     fw, fh = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     over = (F.least("x1", "d_x1") > F.greatest("x0", "d_x0")) & (F.least("y1", "d_y1") > F.greatest("y0", "d_y0"))

@@ -74,6 +74,16 @@ def test_each_table_is_dark_by_its_own_box(spark):
     assert [(r.tbl, r.x0) for r in T.dark_regions(tables, fills).collect()] == [(3, 0.0)]
 
 
+def test_frames_of_just_that_saturation_count(spark):
+    key = "pair_id int, side string, page int, "
+    box = ", x0 double, y0 double, x1 double, y1 double"
+    figures = spark.createDataFrame([(1, "prod", page, 1, 0.0, 0.0, 100.0, 80.0) for page in range(1, 13)], key + "fig int" + box)
+    # Nine twentieths to the point, and one channel less.
+    strokes = {page: (20 * page << 16) + (11 * page << 8) + 11 * page for page in range(1, 13)}
+    draws = spark.createDataFrame([(1, "prod", page, "s", True, 1, c + less, 10.0, 10.0, 40.0, 40.0) for page, c in strokes.items() for less in (0, 0x0101)], key + "type string, closed boolean, items int, stroke int" + box)
+    assert sorted(r.page for r in P.highlight_boxes(figures, draws).collect()) == list(range(1, 13))
+
+
 def test_marker_changes_are_grouped(spark):
     schema = "pair_id int, page int, y double, text string"
     prod = L.list_items(spark.createDataFrame([(1, 0, 20.0 * i, f"{i + 1}. Do step {w}") for i, w in enumerate("vwxyz")], schema))
