@@ -83,12 +83,14 @@ def artwork_words(ocr: DataFrame, native: DataFrame) -> DataFrame:
 def printed_lines(words: DataFrame) -> DataFrame:
     """Recognised words as lines: bands of words that share half their height, cut where a gap is three times that height."""
     key = ["pair_id", "side", "page"]
-    down = Window.partitionBy(*key).orderBy("y0", "x0")
+    # Words that start at one point: the narrower first, then the lower, so that the lines do not hang on the order of the rows.
+    order, along = ["y0", "x0", "x1", "y1", "text"], ["x0", "x1", "y0", "y1", "text"]
+    down = Window.partitionBy(*key).orderBy(*order)
     overlap = F.least("y1", F.lag("y1").over(down)) - F.greatest("y0", F.lag("y0").over(down))
-    banded = islands(words, key, ["y0", "x0"], overlap >= 0.5 * F.least(F.col("y1") - F.col("y0"), F.lag(F.col("y1") - F.col("y0")).over(down)), "band")
-    across = Window.partitionBy(*key, "band").orderBy("x0")
+    banded = islands(words, key, order, overlap >= 0.5 * F.least(F.col("y1") - F.col("y0"), F.lag(F.col("y1") - F.col("y0")).over(down)), "band")
+    across = Window.partitionBy(*key, "band").orderBy(*along)
     height = F.avg(F.col("y1") - F.col("y0")).over(Window.partitionBy(*key, "band"))
-    cut = islands(banded.withColumn("_h", height), [*key, "band"], ["x0"], F.col("x0") - F.lag("x1").over(across) <= 3 * F.col("_h"), "piece")
+    cut = islands(banded.withColumn("_h", height), [*key, "band"], along, F.col("x0") - F.lag("x1").over(across) <= 3 * F.col("_h"), "piece")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda s: s["text"]), " ")
     return cut.groupBy(*key, "band", "piece").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), text.alias("text"))
 

@@ -84,6 +84,14 @@ def test_frames_of_just_that_saturation_count(spark):
     assert sorted(r.page for r in P.highlight_boxes(figures, draws).collect()) == list(range(1, 13))
 
 
+def test_lines_do_not_hang_on_the_order_of_the_rows(spark):
+    schema = "pair_id int, side string, page int, text string, x0 double, y0 double, x1 double, y1 double"
+    # Two words start at one point; whether the third shares half a height with the one before depends on which is the last.
+    words = [(1, "s", 0, "tall", 16.0, 160.0, 36.0, 184.0), (1, "s", 0, "low", 16.0, 160.0, 75.0, 166.0), (1, "s", 0, "next", 124.0, 164.0, 157.0, 184.0)]
+    lines = [sorted((r.band, r.piece, r.x0, r.x1) for r in S.printed_lines(spark.createDataFrame(w, schema).coalesce(1)).collect()) for w in (words, words[::-1], [words[1], words[0], words[2]])]
+    assert lines[0] == lines[1] == lines[2]
+
+
 def test_marker_changes_are_grouped(spark):
     schema = "pair_id int, page int, y double, text string"
     prod = L.list_items(spark.createDataFrame([(1, 0, 20.0 * i, f"{i + 1}. Do step {w}") for i, w in enumerate("vwxyz")], schema))
