@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import geometry as G
+from palimpsest.operators.ordered import by_group
 
 # Fixed values.
 SIDE, AREA, GAP = 60.0, 6000.0, 12.0
@@ -21,28 +24,36 @@ def clusters(shapes: DataFrame, gap: float = GAP) -> DataFrame:
     """Shapes of a page (pair_id, side, page, shape, x0..y1) with the number of the cluster they grow into: boxes that
     touch within `gap` are joined until none do. A page is one group; its shapes are swept by their left edges."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x0", "shape"]).reset_index(drop=True)
-        boxes = [[r.x0, r.y0, r.x1, r.y1, [i]] for i, r in enumerate(pdf.itertuples())]
+    columns = [*PAGE, *[c for c in shapes.columns if c not in PAGE]]
+    at = [columns.index(c) for c in ("x0", "y0", "x1", "y1")]
+
+    def run(rows: list[tuple]) -> list[tuple]:
+        if len(rows) == 1:
+            return [(*rows[0], 0)]
+        boxes = [[*[math.nan if r[c] is None else r[c] for c in at], [i]] for i, r in enumerate(rows)]
         grown = True
         while grown:
-            grown, out = False, []
+            grown, out, near = False, [], []
             for b in sorted(boxes, key=lambda b: b[0]):
-                for o in out:
+                # What ends left of this box ends left of all that follow.
+                near = [o for o in near if not o[2] < b[0] - gap]
+                for o in near:
                     if b[0] - gap <= o[2] and o[0] - gap <= b[2] and b[1] - gap <= o[3] and o[1] - gap <= b[3]:
                         o[:] = [min(o[0], b[0]), min(o[1], b[1]), max(o[2], b[2]), max(o[3], b[3]), o[4] + b[4]]
                         grown = True
                         break
                 else:
                     out.append(b)
+                    near.append(b)
             boxes = out
-        number = np.zeros(len(pdf), np.int64)
+        number = [0] * len(rows)
         for k, b in enumerate(sorted(boxes, key=lambda b: (b[1], b[0]))):
-            number[b[4]] = k
-        return pdf.assign(cluster=number)
+            for i in b[4]:
+                number[i] = k
+        return [(*r, k) for r, k in zip(rows, number, strict=True)]
 
-    schema = T.StructType([*shapes.schema.fields, T.StructField("cluster", T.LongType())])
-    return shapes.groupBy(*PAGE).applyInPandas(run, schema)
+    schema = T.StructType([*[shapes.schema[c] for c in columns], T.StructField("cluster", T.LongType())])
+    return by_group(shapes, PAGE, ["x0", "shape"], run, schema).select(*shapes.columns, "cluster")
 
 
 def vector_figures(clustered: DataFrame, least: int = 4) -> DataFrame:

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+BATCH = 10_000
 
 
 def islands(df: DataFrame, keys: list[str], order: list, goes_on: Column, out: str = "island") -> DataFrame:
@@ -13,6 +22,29 @@ def islands(df: DataFrame, keys: list[str], order: list, goes_on: Column, out: s
     return marked.withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def by_group(df: DataFrame, keys: list[str], order: list[str], run: Callable[[list[tuple]], list[tuple]], schema: StructType | str) -> DataFrame:
+    """The rows that `run` makes of each group's rows, which come as tuples in `order`. Partitions are sorted and read as a stream, so that
+    small groups cost little; a group must fit into a task."""
+    columns, n = [*keys, *[c for c in df.columns if c not in keys]], len(keys)
+    made = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), made, strict=True)], schema=made)
+
+        each = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        out: list[tuple] = []
+        for _, group in groupby(each, itemgetter(*range(n))):
+            out += run(list(group))
+            if len(out) >= BATCH:
+                yield table(out)
+                out = []
+        if out:
+            yield table(out)
+
+    return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, schema)
+
+
 def before(keys: list[str], order: list, *columns: str) -> list[Column]:
     w = Window.partitionBy(*keys).orderBy(*order)
     return [F.lag(c).over(w) for c in columns]

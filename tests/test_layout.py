@@ -24,6 +24,13 @@ def test_clusters_grow_until_none_touch(spark):
     assert len(got) == len(rows)
 
 
+def test_pages_of_one_shape_cost_no_call_of_pandas(spark):
+    rows = [(i, "prod", 0, k, 20.0 * k, 0.0, 20.0 * k + 5.0 + 5.0 * (i % 2), 9.0) for i in range(400) for k in range(i % 3)]
+    got = P.clusters(spark.createDataFrame(rows, "pair_id int, side string, page int, shape int, x0 double, y0 double, x1 double, y1 double"))
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    assert sorted((r.pair_id, r["shape"], r.cluster) for r in got.collect()) == [(i, k, k if i % 2 == 0 else 0) for i in range(400) for k in range(i % 3)]
+
+
 def test_fingerprints_and_similarity(spark):
     rnd = np.random.default_rng(0)
     a = rnd.integers(0, 255, (64, 48)).astype(np.uint8)
