@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
+from heapq import heapify, heappop, heappush
+from itertools import groupby
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators.compare import bag_similarity, greedy_pairs
-from palimpsest.operators.ordered import islands
+from palimpsest.operators.ordered import by_group, islands
 
 # Points and shares.
 EDGE_SLACK, EDGE_SHARE, BOTTOM_SHARE, TOP_SHARE = 4.0, 0.7, 0.8, 0.15
@@ -131,9 +135,58 @@ def dark_regions(tables: DataFrame, fills: DataFrame, least: float = 0.4) -> Dat
 
 
 def closest_rows(prod: DataFrame, stage: DataFrame) -> DataFrame:
-    """Rows left over by their keys, paired by the share of common words from 0.6 on, best first. Sides: tbl, row, token."""
-    sim = bag_similarity(prod.withColumnRenamed("row", "prod_row"), stage.withColumnRenamed("row", "stage_row"), ["tbl", "prod_row"], ["tbl", "stage_row"], "token")
-    return greedy_pairs(sim.where(F.col("similarity") >= ROW_OVERLAP).select("tbl", "prod_row", "stage_row", "similarity"), ["tbl"], "prod_row", "stage_row", "similarity")
+    """Rows left over by their keys, paired by the share of common words from 0.6 on, best first (ties by row). Sides: tbl, row, token.
+
+    Rows of the same words are compared as one; a table's rows, and the pairs of unlike ones from 0.6 on, must fit into a task.
+    """
+    kinds = dict(prod.dtypes) | {"stage_row": dict(stage.dtypes)["row"]}
+    bag = lambda df, side: df.where("tbl is not null and row is not null").groupBy("tbl", F.lit(side).alias("side"), "row").agg(F.count("*").alias("total"), F.array_sort(F.collect_list("token")).alias("tokens"))
+
+    def pairs(rows: list[tuple]) -> list[tuple]:
+        # Rows of the same words are one class, its rows in order; a word's copies are told apart by their number.
+        a, b = ({}, {})
+        for _, side, row, total, tokens in rows:
+            (a if side == 0 else b).setdefault((total, tuple(tokens)), []).append(row)
+        a, b = ({k: deque(sorted(r)) for k, r in x.items()} for x in (a, b))
+        out = []
+        # A similarity of one is that of the same words alone.
+        for k in a.keys() & b.keys():
+            while k[0] == len(k[1]) and a[k] and b[k]:
+                out.append((rows[0][0], a[k].popleft(), b[k].popleft(), 1.0))
+        left, right = ([(k, r) for k, r in x.items() if r] for x in (a, b))
+        numbered = lambda k: {(t, n) for t, g in groupby(k) for n, _ in enumerate(g)}
+        postings: dict = {}
+        for j, ((_, tokens), _) in enumerate(right):
+            for t in numbered(tokens):
+                postings.setdefault(t, []).append(j)
+        held = {t: np.array(j) for t, j in postings.items()}
+        totals, steps = np.array([k[0] for k, _ in right]), {}
+        for i, ((total, tokens), _) in enumerate(left):
+            found = [held[t] for t in numbered(tokens) if t in held]
+            if not found:
+                continue
+            score = np.bincount(np.concatenate(found), minlength=len(right)) / np.maximum(totals, total)
+            for j in np.flatnonzero(score >= ROW_OVERLAP):
+                steps.setdefault(float(score[j]), {}).setdefault(i, []).append(int(j))
+        # Best first: of one score each row in order takes the first free row of all the classes that it has this score with.
+        for score in sorted(steps, reverse=True):
+            queue = [(left[i][1][0], i) for i in steps[score] if left[i][1]]
+            heapify(queue)
+            while queue:
+                row, i = heappop(queue)
+                free = [(right[j][1][0], j) for j in steps[score][i] if right[j][1]]
+                if not free:
+                    continue
+                other, j = min(free)
+                left[i][1].popleft()
+                right[j][1].popleft()
+                out.append((rows[0][0], row, other, score))
+                if left[i][1]:
+                    heappush(queue, (left[i][1][0], i))
+        return out
+
+    both = bag(prod, 0).unionByName(bag(stage, 1))
+    return by_group(both, ["tbl"], ["side", "row"], pairs, f"tbl {kinds['tbl']}, prod_row {kinds['row']}, stage_row {kinds['stage_row']}, similarity double")
 
 
 # Matching of tables and rows.

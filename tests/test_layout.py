@@ -160,3 +160,27 @@ def test_small_rules(spark):
     assert value(L.indent_changed(F.lit(10.0), F.lit(15.0))) is False
     assert value(L.marker_size_changed(F.lit(10.0), F.lit(20.0))) is False
     assert value(P.broken_reason(F.lit(0), F.lit(True), F.lit(False), F.lit(5), F.lit(5.0))) == "empty stream"
+
+
+def test_closest_rows_are_those_of_the_plain_greedy_match(spark):
+    rnd = random.Random(5)
+    sides = [{(t, r): [rnd.choice("abcdef") for _ in range(rnd.randint(3, 5))] for t in range(3) for r in range(40)} for _ in range(2)]
+    df = lambda side: spark.createDataFrame([(t, r, w) for (t, r), words in side.items() for w in words], "tbl int, row int, token string")
+    want = set()
+    for t in range(3):
+        scored = []
+        for (u, p), a in sides[0].items():
+            for (v, s), b in sides[1].items():
+                score = sum(min(a.count(w), b.count(w)) for w in set(a)) / max(len(a), len(b))
+                if u == v == t and score >= 0.6:
+                    scored.append((-score, p, s))
+        left, right = set(), set()
+        for score, p, s in sorted(scored):
+            if p not in left and s not in right:
+                left.add(p)
+                right.add(s)
+                want.add((t, p, s, -score))
+    got = T.closest_rows(df(sides[0]), df(sides[1]))
+    assert {tuple(r) for r in got.select("tbl", "prod_row", "stage_row", "similarity").collect()} == want
+    # Copies are not paired with each other all to all.
+    assert "Join" not in got._jdf.queryExecution().toString()
