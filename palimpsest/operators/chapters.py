@@ -6,7 +6,6 @@ Elements: pair_id, side, section, ord, kind (text, note, heading, table, figure)
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import text as X
+from palimpsest.functions.matching import changed
 from palimpsest.operators.ordered import islands
 
 # Which category each type of difference belongs to, and how severe it is (1 is worst; up to FAILING_SEVERITY fails).
@@ -135,20 +135,30 @@ def mark_changes(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
     page = re.compile(rf"\s*(?:\b(?:{leads})\s+)?\b(?:{words})\.?\s*\d{{1,4}}\b", re.IGNORECASE)
     label = re.compile(rf"^\s*({'|'.join(sorted(map(re.escape, X.CALLOUTS), key=len, reverse=True))})\b\s*[:：]?\s*", re.IGNORECASE)
 
+    quotes = str.maketrans(QUOTES)
+    digit, bullet = re.compile(r"\d"), re.compile(f"[{X.BULLETS}]")
+    leading, hyphen = re.compile(rf"(?:(?<=^)|(?<=\s))[{X.BULLETS}]\s*"), re.compile(r"(\w)-\s+(?=[a-z])")
+    token = re.compile(r"\w+|[^\w\s]|\s+")
+
     def plain(t: str) -> tuple[list[str], set[tuple[str, str]]]:
-        t = page.sub("", "".join(QUOTES.get(ch, ch) for ch in t))
-        t = re.sub(rf"(?:(?<=^)|(?<=\s))[{X.BULLETS}]\s*", "", re.sub(r"\n\s*-\s+", "\n", t))
-        t = label.sub(r"\1 ", t)
-        t = re.sub(r"(\w)-\s+(?=[a-z])", r"\1-", t)
-        ends = {(a, b) for a, b in re.findall(r"(\S+)\s*\n\s*(\S+)", t)}
-        return re.findall(r"\w+|[^\w\s]|\s+", re.sub(r"\s+", " ", t).strip()), ends
+        # Each rule is tried only where the sign that it starts from is there.
+        t = t.translate(quotes)
+        t = page.sub("", t) if digit.search(t) else t
+        t = re.sub(r"\n\s*-\s+", "\n", t) if "\n" in t else t
+        t = leading.sub("", t) if bullet.search(t) else t
+        t = f"{m[1]} {t[m.end():]}" if (m := label.match(t)) else t
+        t = hyphen.sub(r"\1-", t) if "-" in t else t
+        ends = {(a, b) for a, b in re.findall(r"(\S+)\s*\n\s*(\S+)", t)} if "\n" in t else set()
+        return token.findall(" ".join(t.split())), ends
 
     def changes(a: str, b: str) -> list[str]:
+        if a == b:
+            return []
         (x, wx), (y, wy) = plain(a), plain(b)
         said = []
-        for op, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        for i, j, k, m in changed(x, y):
             gone, new = x[i:j], y[k:m]
-            if op == "equal" or any(re.match(r"\w", t) for t in gone + new):
+            if any(re.match(r"\w", t) for t in gone + new):
                 continue
             marks = [(t, "missing") for t in gone if t.strip()] + [(t, "extra") for t in new if t.strip()]
             if marks:
