@@ -9,8 +9,8 @@ of a stretch decides, so a span that crosses windows is decided once.
 
 A whole text is one stretch if `reach` is None. That takes some ten times as long as reading only
 what lies within `reach` characters of a sign: a decimal digit, an @, or the words "at" and "dot" as an
-address is spelled out with; nothing else in a text can be a span of any kind. That is the default; tests/llm/test_pii.py
-measures what it loses against reading everything (no planted span, and a few false ones).
+address is spelled out with; nothing else in a text can be a span of any kind. Whole texts are the default; tests/llm/test_pii.py
+measures what `reach=REACH` loses against reading everything (no planted span, and a few false ones).
 """
 
 from __future__ import annotations
@@ -358,7 +358,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOC
     return Tagger().fit(ids, tags, epochs)
 
 
-def find_pii(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", out: str = "pii", reach: int | None = REACH, least_chars: int = LEAST_CHARS, least_margin: float = LEAST_MARGIN) -> DataFrame:
+def find_pii(docs: DataFrame, tagger: Tagger | None, text_col: str = "text", out: str = "pii", reach: int | None = None, least_chars: int = LEAST_CHARS, least_margin: float = LEAST_MARGIN) -> DataFrame:
     """`docs` with a column `out`: ARRAY<STRUCT<kind INT, start, end, rule BOOLEAN>> of code point spans, by kind, then start.
 
     All of the rules' spans are there; the tagger adds spans that overlap none of them, of at least

@@ -128,3 +128,14 @@ def test_what_reading_near_signs_alone_loses(tagger):
     print(f"planted found near signs {len(right(near))}, in whole texts {len(right(whole))}, in both {len(right(near) & right(whole))}; false {len(near) - len(right(near))} and {len(whole) - len(right(whole))}; read {read:.2f} of all characters")
     assert len(right(whole)) >= 110 and {s[0] for s in right(whole)} <= {s[0] for s in right(near)}
     assert len(near) - len(right(near)) <= len(whole) - len(right(whole))
+
+
+def test_whole_texts_are_read_unless_a_reach_is_given(spark):
+    class All(pii.Tagger):
+        def spans(self, texts, reach=None):
+            return [[(0, a, b, 99.0) for a, b in pii.stretches(t, reach)] for t in texts]
+
+    text = "no sign of anything " * 20
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    read = lambda **k: [(x.start, x.end) for x in pii.find_pii(docs, All(), **k).first().pii]
+    assert read() == [(0, len(text))] and read(reach=pii.REACH) == []
