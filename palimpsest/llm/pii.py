@@ -7,7 +7,7 @@ digits of any script as 0-9, full-width forms as ASCII. A text is cut into overl
 emission scores are averaged, those near a window's middle weighing most, and one Viterbi pass over all
 of a stretch decides, so a span that crosses windows is decided once.
 
-A whole text is one stretch if `reach` is None. That takes some ten times as long as reading only
+A whole text is one stretch if `reach` is None. That takes several times as long as reading only
 what lies within `reach` characters of a sign: a decimal digit, an @, or the words "at" and "dot" as an
 address is spelled out with; nothing else in a text can be a span of any kind. Whole texts are the default; tests/llm/test_pii.py
 measures what `reach=REACH` loses against reading everything (no planted span, and a few false ones).
@@ -30,6 +30,8 @@ from palimpsest.llm.common import slices, text_of, texts_of, with_column
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE, REACH = 96, 48, 28
+#: Windows that one matrix product takes, groups of them that go through the LSTMs side by side, and about how many have their scores held at once.
+GROUP, GROUPS, LOT = 320, 3, 3840
 #: Bounds of the training sample: documents and windows drawn from the corpus, windows made up.
 SAMPLE_DOCS, SAMPLE_WINDOWS, MADE_WINDOWS = 3000, 500, 1500
 #: What a span of the tagger must have (parameters of find_pii): characters, and the score by which it beats "no span".
@@ -244,32 +246,186 @@ class Tagger:
             out.append((kind, s, t, float(own)))
         return out
 
+    def _fused(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both directions' weights for leads(): gates halved, since sigmoid(z) is (1 + tanh(z / 2)) / 2, states kept doubled."""
+        h, cells, heads = self.hidden, [], []
+        for k, d in enumerate("fb"):
+            cells.append((np.concatenate((self.p[f"u{d}"] / 2, self.p[f"w{d}"], self.p[f"c{d}"][None])) * np.repeat([0.5, 1], [3 * h, h])).T)
+            own = self.p["out"][k * h : (k + 1) * h]
+            heads.append((own[:, 1:] - own[:, :1]).T / 2)
+        seen = np.concatenate((self.p["emb"], np.ones((len(self.p["emb"]), 1))), axis=1)
+        return tuple(np.ascontiguousarray(x, np.float32) for x in (np.stack(cells), np.stack(heads), seen))
+
+    def leads(self, ids: np.ndarray) -> np.ndarray:
+        """(characters, tags but the first, windows) for ids (characters, windows): by how much emissions() has each tag before "no span".
+
+        Both directions go in one step and all gates in one tanh; windows lie side by side, in groups that suit the matrix product,
+        as many as the cache holds.
+        """
+        (steps, n), h = ids.shape, self.hidden
+        cells, heads, seen = self._fused()
+        filled = np.zeros((steps, n + GROUPS), np.uint8)
+        filled[:, :n] = ids
+        out = np.empty((steps, TAGS - 1, n + GROUPS), np.float32)
+        for lo in range(0, n, GROUPS * GROUP):
+            m = min(GROUPS * GROUP, n - lo)
+            groups = -(-m // GROUP)
+            wide = -(-m // groups)
+            x = np.ascontiguousarray(seen[filled[:, lo : lo + groups * wide].reshape(steps, groups, wide)].transpose(0, 1, 3, 2))
+            into, z = np.zeros((groups, 2, cells.shape[2], wide), np.float32), np.empty((groups, 2, 4 * h, wide), np.float32)
+            cell, ends = np.zeros((groups, 2, h, wide), np.float32), np.empty((2, steps, groups, TAGS - 1, wide), np.float32)
+            state, gates, i, f, o, g = into[:, :, :h], z[:, :, : 3 * h], z[:, :, :h], z[:, :, h : 2 * h], z[:, :, 2 * h : 3 * h], z[:, :, 3 * h :]
+            for t in range(steps):
+                into[:, 0, h:], into[:, 1, h:] = x[t], x[steps - 1 - t]
+                np.matmul(cells, into, out=z)
+                np.tanh(z, out=z)
+                np.add(gates, 1, out=gates)
+                np.multiply(cell, f, out=cell)
+                np.multiply(g, i, out=g)
+                np.add(cell, g, out=cell)
+                np.multiply(cell, 0.5, out=cell)
+                np.tanh(cell, out=g)
+                np.multiply(g, o, out=state)
+                np.matmul(heads[0], state[:, 0], out=ends[0, t])
+                np.matmul(heads[1], state[:, 1], out=ends[1, steps - 1 - t])
+            part = out[:, :, lo : lo + groups * wide].reshape(steps, TAGS - 1, groups, wide)
+            np.add(*ends.transpose(0, 1, 3, 2, 4), out=part)
+            part += (self.p["bias"][1:] - self.p["bias"][0])[:, None, None]
+        return out[:, :, :n]
+
+    def _may_be_spans(self, leads: np.ndarray, first: np.ndarray, last: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Which characters may lie in a span of the best path: for all others a bound says that "no span" wins whatever the rest is.
+
+        A span's characters n, its moves n + 1 (fewer at a stretch's ends): no run of them, however chosen, may gain more than the largest lead of each
+        and the largest move. A move into a kind's inner tag from its first is larger; `shift` takes that from it and gives it to the move before.
+        """
+        moves = (self.p["moves"] - self.p["moves"][0, 0]).astype(np.float64)
+        shift = np.zeros(TAGS)
+        shift[1::2] = max(0.0, moves[1::2, 2::2].max() - moves[2::2, 2::2].max())
+        moves = moves + shift - shift[:, None]
+        most, enter, leave = moves[1:, 1:].max(), moves[0, 1:].max(), moves[1:, 0].max()
+        gain = leads.max(axis=0).astype(np.float64) + most
+        gain[first] += max(0.0, shift[1:].max() - enter)
+        gain[last] += max(0.0, (-shift[1:]).max() - leave)
+        gain[~inside] = -1e4
+        def runs(g: np.ndarray) -> np.ndarray:
+            total = np.cumsum(g)
+            return total - np.minimum.accumulate(np.concatenate(([0.0], total[:-1])))
+        best = runs(gain) + runs(gain[::-1])[::-1] - gain
+        return (best + enter - most + leave >= -1e-2) & inside
+
+    def _paths(self, leads: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray, tags: np.ndarray) -> None:
+        """Viterbi over leads[:, start:end] for many pieces at once, the longest first; "no span" is on both sides but at a stretch's ends. Fills tags."""
+        moves = self.p["moves"] - self.p["moves"][0, 0]
+        order = np.argsort(starts - ends, kind="stable")
+        starts, ends, first, last = starts[order], ends[order], first[order], last[order]
+        sizes = ends - starts
+        held: list[np.ndarray] = []
+        for t in range(int(sizes[0])):
+            n = int(np.searchsorted(-sizes, -t, side="left"))
+            own = np.concatenate((np.zeros((1, n), np.float32), leads[:, starts[:n] + t]))
+            if t == 0:
+                score = own + np.where(first, np.float32(0), moves[0][:, None])
+            else:
+                before = held[-1]
+                score = before[0, :n] + moves[0][:, None]
+                for a in range(1, TAGS):
+                    np.maximum(score, before[a, :n] + moves[a][:, None], out=score)
+                score += own
+            held.append(score)
+        now = np.zeros(len(sizes), np.int64)
+        for t in range(int(sizes[0]) - 1, -1, -1):
+            n = held[t].shape[1]
+            more = held[t + 1].shape[1] if t + 1 < len(held) else 0
+            now[:more] = (held[t][:, :more] + moves[:, now[:more]]).argmax(0)
+            now[more:n] = (held[t][:, more:] + np.where(last[more:n], np.float32(0), moves[:, :1])).argmax(0)
+            tags[starts[:n] + t] = now[:n]
+
+    def _read(self, pieces: list[np.ndarray]) -> list[list[tuple[int, int, int, float]]]:
+        """(kind, start, end, margin) in each stretch of characters: windows' leads averaged, and the best path through all of a stretch."""
+        sizes = np.array([len(p) for p in pieces])
+        blocks = np.maximum(1, -(-(sizes - STRIDE) // STRIDE)) + 1
+        ends = np.cumsum(blocks)
+        firsts = ends - blocks
+        flat = np.zeros(int(ends[-1]) * STRIDE, np.uint8)
+        for p, at in zip(pieces, (firsts * STRIDE).tolist(), strict=True):
+            flat[at : at + len(p)] = p
+        rows = flat.reshape(-1, STRIDE).T
+        begins = np.delete(np.arange(rows.shape[1]), ends - 1)
+        each = self.leads(np.concatenate((rows[:, begins], rows[:, begins + 1])))
+        rising, falling = np.arange(1, STRIDE + 1, dtype=np.float32)[:, None, None], np.arange(STRIDE, 0, -1, dtype=np.float32)[:, None, None]
+        early, late = each[:STRIDE], each[STRIDE:]
+        early *= rising / (STRIDE + 1)
+        late *= falling / (STRIDE + 1)
+        mean = np.empty((STRIDE, TAGS - 1, rows.shape[1]), np.float32)
+        at = 0
+        for a, b in zip(firsts.tolist(), (ends - 1).tolist(), strict=True):
+            mean[:, :, a:b] = early[:, :, at : at + b - a]
+            mean[:, :, b] = 0
+            mean[:, :, a + 1 : b + 1] += late[:, :, at : at + b - a]
+            at += b - a
+        mean[:, :, firsts] *= (STRIDE + 1) / rising
+        mean[:, :, ends - 1] *= (STRIDE + 1) / falling
+        leads = np.ascontiguousarray(mean.transpose(1, 2, 0)).reshape(TAGS - 1, -1)
+        start = firsts * STRIDE
+        inside = np.zeros(len(flat) + 1, np.int8)
+        np.add.at(inside, start, 1)
+        np.add.at(inside, start + sizes, -1)
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        may = self._may_be_spans(leads, start, start + sizes - 1, inside)
+        out: list[list[tuple[int, int, int, float]]] = [[] for _ in pieces]
+        turns = np.flatnonzero(np.diff(may, prepend=False, append=False))
+        # Two stretches may touch; no piece crosses from one to the next.
+        owner = lambda x: np.searchsorted(start, x, side="right") - 1
+        if not len(turns):
+            return out
+        bounds = np.union1d(turns, start[may[start]])
+        a = bounds[:-1][may[bounds[:-1]]]
+        b = bounds[np.searchsorted(bounds, a, side="right")]
+        tags = np.zeros(len(flat), np.int64)
+        self._paths(leads, a, b, a == start[owner(a)], b == (start + sizes)[owner(a)], tags)
+        for x, y, k, margin in zip(*self._marked(leads, tags, start), strict=True):
+            i = int(owner(x))
+            out[i].append((k, x - int(start[i]), y - int(start[i]), margin))
+        return out
+
+    def _marked(self, leads: np.ndarray, tags: np.ndarray, start: np.ndarray) -> tuple[list, list, list, list]:
+        """Starts, ends, kinds and margins of the spans that tags mark; a span starts at its B tag or where a kind or a stretch starts."""
+        held = np.flatnonzero(tags)
+        if not len(held):
+            return [], [], [], []
+        own, kind = tags[held], (tags[held] - 1) // 2
+        new = (own % 2 == 1) | np.isin(held, start)
+        new[0] = True
+        new[1:] |= (held[1:] != held[:-1] + 1) | (kind[1:] != kind[:-1])
+        heads = np.flatnonzero(new)
+        moves = self.p["moves"] - self.p["moves"][0, 0]
+        gain = leads[own - 1, held].astype(np.float64)
+        gain[1:] += np.where(new[1:], 0, moves[own[:-1], own[1:]])
+        tails = np.append(heads[1:], len(held)) - 1
+        return held[heads].tolist(), (held[tails] + 1).tolist(), kind[heads].tolist(), np.add.reduceat(gain, heads).tolist()
+
     def spans(self, texts: list[str], reach: int | None = REACH) -> list[list[tuple[int, int, int, float]]]:
         """What the tagger finds in each text: (kind, start, end, margin)."""
-        where = [(i, a, b) for i, t in enumerate(texts) for a, b in stretches(t, reach)]
-        each = {i: characters(texts[i]) for i in {i for i, *_ in where}}
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-        weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
-        todo, lots, size = [], [], 0
-        for i, a, b in where:
-            cut = windows(each[i], a, b)
-            todo.append((i, a, b, cut))
-            size += len(cut)
-            if size >= 512:
-                lots.append(todo)
-                todo, size = [], 0
-        for lot in [*lots, todo] if todo else lots:
-            stacked = np.stack([w for *_, cut in lot for _, w in cut])
-            em = np.concatenate([self.emissions(stacked[k : k + 1024]) for k in range(0, len(stacked), 1024)])
-            at = 0
-            for i, a, b, cut in lot:
-                total, seen = np.zeros((b - a, TAGS), np.float32), np.zeros((b - a, 1), np.float32)
-                for s, _ in cut:
-                    n = min(WINDOW, b - s)
-                    total[s - a : s - a + n] += em[at, :n] * weight[:n]
-                    seen[s - a : s - a + n] += weight[:n]
-                    at += 1
-                out[i] += [(k, a + x, a + y, m) for k, x, y, m in self.decode(total / seen)]
+        todo: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+
+        def read() -> None:
+            for (i, a, _), found in zip(todo, self._read([p for *_, p in todo]), strict=True):
+                out[i] += [(k, a + x, a + y, m) for k, x, y, m in found]
+
+        for i, t in enumerate(texts):
+            where = stretches(t, reach)
+            ids = characters(t) if where else None
+            for a, b in where:
+                todo.append((i, a, ids[a:b]))
+                size += 2 + (b - a) // STRIDE
+                if size >= LOT:
+                    read()
+                    todo, size = [], 0
+        if todo:
+            read()
         return out
 
 
